@@ -3,18 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality
+from . import orcids, packing, quality, toxicity, warc
+from .common import scratch
+from .tokens import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.resolved(spark, path)
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+     q AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND first_id < page_id THEN first_id END AS refers_to
+FROM q
+"""
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, tokens=2048)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left"]
     return quality.judge(_table(spark, sf_dir, "documents")).select(cols)
 
 
-QUERIES = {"op6_quality": op6_quality}
-ORACLE_SQL: dict[str, str] = {}
+def op7_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "orc")
+    orcids.write(_table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"), end_id=0)
+    return orcids.digests(spark, path)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {"op2_warc": op2_warc, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_orc": op7_orc, "op9_toxicity": op9_toxicity}
+ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
