@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import orcids, packing, quality, toxicity, warc
+from . import ann, jaccard, mixing, orcids, packing, pii, quality, suffix, toxicity, warc
 from .common import scratch
 from .tokens import tokenizer_path
 
@@ -14,6 +14,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    index = ann.build(vectors, "vec_id", "embedding")
+    queries = ann.valid(vectors, "vec_id", "embedding").filter("id % 50 = 0")
+    return ann.search(index, queries, 5)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
@@ -30,6 +37,15 @@ FROM q
 """
 
 
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove(_table(spark, sf_dir, "documents"), width=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(_table(spark, sf_dir, "documents"), k=5, percent=75).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, tokens=2048)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -46,10 +62,21 @@ def op7_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orcids.digests(spark, path)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {"op2_warc": op2_warc, "op5_packing": op5_packing, "op6_quality": op6_quality, "op7_orc": op7_orc, "op9_toxicity": op9_toxicity}
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rated = mixing.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [0.05, 0.9, 0.05])
+    shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
+    return rated.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate")
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_suffix, op4_jaccard, op5_packing, op6_quality, op7_orc, op8_pii, op9_toxicity, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {"op2_warc": OP2_SQL}
