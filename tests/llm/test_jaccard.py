@@ -62,6 +62,20 @@ def test_same_as_brute_force(spark, seed, options):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_sketches_never_overstate():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    sets = [np.unique(r.integers(0, 1 << 62, r.integers(0, 90)).astype(np.uint64)) for _ in range(40)]
+    sets += [np.unique(np.append(s[: len(s) * 5 // 6], r.integers(0, 1 << 62, 3).astype(np.uint64))) for s in sets]
+    edges = np.cumsum([0] + [len(s) for s in sets])
+    got = jaccard.sketches(edges, np.concatenate(sets))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i)]
+    d = jaccard.differing([got[i] for i, _ in pairs], [got[j] for _, j in pairs])
+    true = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in pairs])
+    assert (d <= true).all() and (d[true > 60] > 8).all()
+
+
 def test_keep_one_and_empty(spark):
     rows = [(2, "a b c d e f g h", "k"), (1, "A b c d e f g h", "k"), (1, "A b c d e f g h", "k"), (3, "", "k"), (4, None, "k"), (None, "q", "k")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n string")

@@ -10,8 +10,8 @@ under theirs as probes, which are not compared with each other. A set of one tok
 The frequent class is a table of at most `class_size` tokens. Any table gives the same links, since it only sets the
 order; it is estimated from all sets, with bounded memory in each task.
 
-Equal lists of sets under several keys count once. Of each list a chain and a star are verified first, exactly, on the
-whole texts. What these links join is then left alone: only sets of one list that are still in different components
+Equal lists of sets under several keys count once. Of each list a chain and a star are verified first: parity sketches
+rule most pairs out for sure, and the rest are compared exactly on their whole texts. What these links join is then left alone: only sets of one list that are still in different components
 are paired and verified. So every link between components is found, and large groups of near copies take about as many
 pairs as they have members, not all pairs.
 
@@ -48,6 +48,33 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, edges, value, mix(c[edges[1:]] - c[edges[:-1]] + n * U(0x9E3779B97F4A7C15))
 
 
+def sketches(edges: np.ndarray, value: np.ndarray) -> list[bytes]:
+    """For each set, the parity of its tokens in about two bits per token.
+
+    Sets differ in at least as many tokens as their sketches differ in bits, so a sketch can rule a pair out for sure.
+    """
+    n = np.diff(edges)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, n) + ((value >> U(20)) & np.repeat(bits - 1, n).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(bool)).tobytes()
+    return [packed[b : b + m] for b, m in zip((base >> 3).tolist(), (bits >> 3).tolist(), strict=True)]
+
+
+def differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many bits each pair of sketches differs, the longer one being folded to the length of the other."""
+    a, b = np.array([len(s) for s in x]), np.array([len(s) for s in y])
+    out = np.zeros(len(x), np.int64)
+    for p, q in {*zip(a.tolist(), b.tolist(), strict=True)}:
+        at = np.flatnonzero((a == p) & (b == q))
+        grid = []
+        for side, size in ((x, p), (y, q)):
+            m = np.frombuffer(b"".join([side[i] for i in at]), np.uint8).reshape(len(at), size)
+            grid.append(np.bitwise_xor.reduce(m.reshape(len(at), -1, min(p, q)), axis=1))
+        out[at] = np.bitwise_count(grid[0] ^ grid[1]).sum(axis=1)
+    return out
+
+
 class _Recent:
     """Names met lately in a task, up to a bound: a map-side combine for equal sets."""
 
@@ -66,7 +93,7 @@ class _Recent:
 
 
 def measure(docs: DataFrame, k: int, keep: int) -> DataFrame:
-    """kind 0: doc_id, rk, set, n of each row. kind 1: token, count of tokens that a task has met in several sets."""
+    """kind 0: doc_id, rk, set, n, sketch of each row. kind 1: token, count of tokens that a task has met in several sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent, tokens, counts = _Recent(), np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -74,7 +101,7 @@ def measure(docs: DataFrame, k: int, keep: int) -> DataFrame:
             parts = []
             for lo, hi, edges, value, names in _sets(b.column("text"), k):
                 n = np.diff(edges)
-                yield batch(kind=np.zeros(hi - lo, np.int32), doc_id=b.column("doc_id").slice(lo, hi - lo), rk=b.column("rk").slice(lo, hi - lo), set=signed(names), n=n)
+                yield batch(kind=np.zeros(hi - lo, np.int32), doc_id=b.column("doc_id").slice(lo, hi - lo), rk=b.column("rk").slice(lo, hi - lo), set=signed(names), n=n, sketch=pa.array(sketches(edges, value), pa.binary()))
                 fresh = np.flatnonzero(recent.new(names))
                 parts.append(value[ragged(edges[fresh], n[fresh])])
             found, c = np.unique(np.concatenate(parts) if parts else tokens[:0], return_counts=True)
@@ -88,10 +115,10 @@ def measure(docs: DataFrame, k: int, keep: int) -> DataFrame:
         more = counts > 3
         if more.any():
             m = int(more.sum())
-            yield batch(kind=np.ones(m, np.int32), doc_id=pa.nulls(m, pa.int64()), rk=pa.nulls(m, pa.int64()), set=signed(tokens[more]), n=counts[more])
+            yield batch(kind=np.ones(m, np.int32), doc_id=pa.nulls(m, pa.int64()), rk=pa.nulls(m, pa.int64()), set=signed(tokens[more]), n=counts[more], sketch=pa.nulls(m, pa.binary()))
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row_key().alias("rk"))
-    return narrow.mapInArrow(run, "kind int, doc_id long, rk long, set long, n long")
+    return narrow.mapInArrow(run, "kind int, doc_id long, rk long, set long, n long, sketch binary")
 
 
 def _index(docs: DataFrame, k: int, percent: int, ranks: tuple[np.ndarray, np.ndarray], combine: int, buckets: int) -> DataFrame:
@@ -250,6 +277,21 @@ def _zipped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return packed.join(wanted, "rk").dropDuplicates(["rk", "set"]).select("set", "z")
 
 
+def possible(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out; known: set, n, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("na").to_numpy() + b.column("nb").to_numpy()
+            d = differing(b.column("sa").to_pylist(), b.column("sb").to_pylist())
+            # shared >= percent / 100 of the union leaves at most this share of both sizes to differ
+            ok = pa.array((100 + percent) * d <= (100 - percent) * total)
+            yield batch(a=b.column("a").filter(ok), b=b.column("b").filter(ok))
+
+    side = lambda c: known.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts have the similarity, by their whole shingle sets."""
 
@@ -299,12 +341,18 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, combine: int = 12, freq
     index = _index(docs, k, percent, ranks, combine, buckets).repartition(partitions(spark), "bucket")
     lists = written(_lists(index, percent), "lists")
 
-    first = lists.filter("kind = 0").select("a", "b").distinct()
     members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("set"), "n", "probe").distinct()
-    # any set that may be paired has its text at hand, one row of it
-    wanted = members.select("set").distinct().join(rows.groupBy("set").agg(F.min("rk").alias("rk")), "set")
-    texts = written(_zipped(docs, wanted), "texts")
-    links = written(verify(first, texts, k, percent), "links")
+    # one row stands for each set of a list
+    standing = m.filter("kind = 0").join(members.select("set").distinct(), "set", "left_semi")
+    standing = written(standing.select("set", "rk", "n", "sketch").dropDuplicates(["set"]), "standing")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        hopeful = written(possible(pairs, standing, percent), "possible")
+        wanted = hopeful.select(F.col("a").alias("set")).union(hopeful.select("b")).distinct().join(standing.select("set", "rk"), "set")
+        return written(verify(hopeful, written(_zipped(docs, wanted), "texts"), k, percent), "links")
+
+    first = lists.filter("kind = 0").select("a", "b").distinct()
+    links = checked(first)
     found = components(links)
 
     # what is still apart within a list
@@ -316,8 +364,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, combine: int = 12, freq
     near = (F.col("x.list") == F.col("y.list")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root"))
     near &= ~(F.col("x.probe") & F.col("y.probe")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     rest = x.join(y, near).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    late = verify(rest, texts, k, percent)
+    late = checked(rest.join(first, ["a", "b"], "left_anti"))
     found = written(components(links.union(late)), "components")
 
     # the least doc_id of each component, then back to rows; a set held by many rows is salted
