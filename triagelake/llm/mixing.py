@@ -40,9 +40,9 @@ def domain() -> Column:
     return F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 1, 1).when((F.col("quality") == 0) & (F.col("toxic") == 0), 0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = 2000, **options) -> Model:
-    """A subword classifier of domains, fitted on at most per_label labelled documents of each."""
-    texts, y = labelled_sample(docs, labels, domain(), len(DOMAINS), per_label)
+def fit(docs: DataFrame, labels: DataFrame, per_label: tuple[int, ...] = (1000, 2000, 1000), **options) -> Model:
+    """A subword classifier of domains, fitted on at most per_label[k] labelled documents of domain k."""
+    texts, y = labelled_sample(docs, labels, domain(), per_label)
     return train(texts, y, len(DOMAINS), **options)
 
 

@@ -96,7 +96,7 @@ class Model:
         return p / p.sum(axis=1, keepdims=True), counts
 
 
-def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 8, buckets: int = 1 << 18, lengths: tuple[int, ...] = (3, 4, 5), epochs: int = 80, rate: float = 0.05, scale: float = 30.0, decay: float = 0.0, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 4, buckets: int = 1 << 18, lengths: tuple[int, ...] = (3, 4, 5), epochs: int = 100, rate: float = 0.1, scale: float = 100.0, decay: float = 1e-5, seen: int = 3, seed: int = 7) -> Model:
     """Full-batch Adam over a bounded sample; the same sample in the same order gives the same model."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.int64)
@@ -126,45 +126,46 @@ def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 8, buck
         return Model(np.zeros((buckets, classes)), np.log((np.bincount(labels, minlength=classes) + 1) / (len(labels) + classes)), scale, lengths)
     order = np.argsort(known, kind="stable")
     word = order[np.searchsorted(known[order], np.concatenate(pairs_key))]
-    doc, n = np.concatenate(pairs_doc), np.concatenate(pairs_n).astype(np.float32)
+    doc, n = np.concatenate(pairs_doc), np.concatenate(pairs_n).astype(float)
     bucket, count = np.concatenate(bucket_parts), np.concatenate(count_parts)
+    total = np.bincount(doc, weights=n, minlength=len(texts))
+    # words of fewer than `seen` texts teach nothing that their n-grams don't teach elsewhere
+    often = np.bincount(word, minlength=len(count)) >= seen
+    keep = often[word]
+    word, doc, n = np.cumsum(often)[word[keep]] - 1, doc[keep], n[keep]
+    bucket, count = bucket[np.repeat(often, count)], count[often]
+    if not len(count):
+        return Model(np.zeros((buckets, classes)), np.log((np.bincount(labels, minlength=classes) + 1) / (len(labels) + classes)), scale, lengths)
     used, gram = np.unique(bucket, return_inverse=True)
     owner = np.repeat(np.arange(len(count)), count)
 
     def spread(row, col, weight, rows):
         """Sums of weighted rows of a table by `row`, as a function of the table."""
-        o = np.argsort(row, kind="stable")
-        c, v, have = col[o], weight[o][:, None].astype(np.float32), np.bincount(row, minlength=rows)
-        full = np.flatnonzero(have)
-        starts = (np.cumsum(have) - have)[full]
 
         def apply(table):
-            out = np.zeros((rows, table.shape[1]), np.float32)
-            out[full] = np.add.reduceat(table[c] * v, starts, axis=0)
-            return out
+            return np.stack([np.bincount(row, weights=table[:, j][col] * weight, minlength=rows) for j in range(table.shape[1])], axis=1)
 
         return apply
 
-    total = np.bincount(doc, weights=n, minlength=len(texts)).astype(np.float32)
     wt, gt = n / total[doc], (1.0 / count)[owner]
     to_word, from_word = spread(owner, gram, gt, len(count)), spread(gram, owner, gt, len(used))
     to_doc, from_doc = spread(doc, word, wt, len(texts)), spread(word, doc, wt, len(count))
-    E = rng.normal(0, 0.1, (len(used), dim)).astype(np.float32)
-    W = rng.normal(0, 0.5, (dim, classes)).astype(np.float32)
-    b = np.zeros(classes, np.float32)
-    target = np.eye(classes, dtype=np.float32)[labels]
+    E = rng.normal(0, 0.1, (len(used), dim))
+    W = rng.normal(0, 0.5, (dim, classes))
+    b = np.zeros(classes)
+    target = np.eye(classes)[labels]
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (E, W, b)]
     for t in range(1, epochs + 1):
-        v = to_doc(to_word(E)) * np.float32(scale)
+        v = to_doc(to_word(E)) * scale
         z = v @ W + b
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = (p - target) / np.float32(len(texts))
-        grads = [from_word(from_doc(g @ W.T * np.float32(scale))) + decay * E, v.T @ g + decay * W, g.sum(axis=0)]
+        g = (p - target) / len(texts)
+        grads = [from_word(from_doc(g @ W.T * scale)) + decay * E, v.T @ g + decay * W, g.sum(axis=0)]
         for param, grad, (m, s) in zip((E, W, b), grads, state, strict=True):
             m += 0.1 * (grad - m)
             s += 0.01 * (grad * grad - s)
-            param -= (rate * (1 - t / (epochs + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+            param -= (rate * (1 - t / (epochs + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8))
     scores = np.zeros((buckets, classes), np.float32)
     scores[used] = E @ W
     return Model(scores, b.astype(float), scale, lengths)

@@ -1,7 +1,7 @@
 """Toxicity scores from a subword model fitted on labelled rows.
 
 Rows whose crc32(doc_id as text) modulo `folds` is `fold` are held out of training. The model is fitted on a bounded
-sample: of each label, the `per_label` training rows whose hashed doc_id is smallest. Scoring is one narrow pass over
+sample: of label k, the per_label[k] training rows whose hashed doc_id is smallest. Scoring is one narrow pass over
 all documents; the model that travels with it has a fixed size.
 
 Null or empty text: scored from the bias alone. Null doc_id: scored, not held out. Labels that are null or other than
@@ -26,22 +26,23 @@ def remainder(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, classes: int, per_label: int, keep: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Texts and labels on the driver: at most per_label of each class, by hashed doc_id."""
-    marked = labels.select(F.col("doc_id").alias("__id"), label.cast("int").alias("__label")).filter(F.col("__label").between(0, classes - 1))
-    marked = marked.filter(keep if keep is not None else F.lit(True)) if keep is None else marked.withColumnRenamed("__id", "doc_id").filter(keep).withColumnRenamed("doc_id", "__id")
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_label: tuple[int, ...], keep: Column | None = None) -> tuple[list[str], np.ndarray]:
+    """Texts and labels on the driver: at most per_label[k] of class k, by hashed doc_id."""
+    marked = labels.select(F.col("doc_id").alias("__id"), label.cast("int").alias("__label")).filter(F.col("__label").between(0, len(per_label) - 1))
+    if keep is not None:
+        marked = marked.withColumnRenamed("__id", "doc_id").filter(keep).withColumnRenamed("doc_id", "__id")
     texts, out = [], []
-    for k in range(classes):
-        # at most per_label ids of each class, so this side is small whatever the input
-        ids = marked.filter(F.col("__label") == k).select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(per_label)
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(per_label).collect()
+    for k, most in enumerate(per_label):
+        # at most `most` ids of each class, so this side is small whatever the input
+        ids = marked.filter(F.col("__label") == k).select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
+        rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()
         texts += [r.text or "" for r in rows]
         out += [k] * len(rows)
     return texts, np.array(out, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_label: int = 2500, **options) -> Model:
-    texts, y = labelled_sample(docs, labels, F.col("toxic"), 2, per_label, remainder(F.col("doc_id"), folds) != fold)
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_label: tuple[int, int] = (2500, 1000), **options) -> Model:
+    texts, y = labelled_sample(docs, labels, F.col("toxic"), per_label, remainder(F.col("doc_id"), folds) != fold)
     if len(set(y.tolist())) < 2:
         texts, y = [], y[:0]
     return train(texts, y, 2, **options)
