@@ -1,6 +1,6 @@
 """Shared helpers: scratch folders, Arrow buffers, vectorised word and k-gram hashing.
 
-All text work runs over UTF-8 bytes in numpy, in blocks of about a megabyte, so memory does not depend on
+All text work runs over UTF-8 bytes in numpy, in blocks of about half a megabyte, so memory does not depend on
 how many rows an Arrow batch holds.
 """
 
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U = np.uint64
 
 
@@ -96,20 +96,19 @@ def _table(seed: int) -> np.ndarray:
 class Roller:
     """Hashes of any byte range of a block from prefix sums modulo 2**64."""
 
-    _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    _pow: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    _base = 0x9E3779B97F4A7C15 | 1
 
     def __init__(self, data: np.ndarray, seed: int = 1):
-        base = int(mix(np.array([seed * 2 + 1], np.uint64))[0]) | 1
         n = len(data) + 1
-        have = self._pow.get(seed)
-        if have is None or len(have[0]) < n:
+        have = Roller._pow
+        if len(have[0]) < n:
             size = max(n, BLOCK * 5 // 4)
-            inv = pow(base, -1, 1 << 64)
-            p, q = np.full(size, base, np.uint64), np.full(size, inv, np.uint64)
+            p, q = np.full(size, self._base, np.uint64), np.full(size, pow(self._base, -1, 1 << 64), np.uint64)
             p[0] = q[0] = 1
             have = (np.cumprod(p), np.cumprod(q))
             if size <= 4 * BLOCK:
-                self._pow[seed] = have
+                Roller._pow = have
         self.inv = have[1]
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(_table(seed)[data] * have[0][: n - 1], out=self.sums[1:])

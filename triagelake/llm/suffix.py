@@ -323,8 +323,8 @@ def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
         k = key[order]
         first = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, np.int64)
         lo = 0
-        while lo < len(first) - 1:  # whole groups, a few thousand rows at a time
-            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 8192, "right")) - 1)
+        while lo < len(first) - 1:  # whole groups, some thousand rows at a time
+            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 4096, "right")) - 1)
             i = order[first[lo] : first[hi]]
             row, back, one, two = _strings(half[i], left[i].astype(np.int64), t.column("body").take(pa.array(i)).to_pylist(), width, gram)
             got = spans(rk[i], pos[i].astype(np.int64), row, back, repeated(one, two))
