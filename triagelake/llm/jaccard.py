@@ -10,10 +10,12 @@ under theirs as probes, which are not compared with each other. A set of one tok
 The frequent class is a table of at most `class_size` tokens. Any table gives the same links, since it only sets the
 order; it is estimated from all sets, with bounded memory in each task.
 
-Equal lists of sets under several keys count once. Of each list a chain and a star are verified first: parity sketches
-rule most pairs out for sure, and the rest are compared exactly on their whole texts. What these links join is then left alone: only sets of one list that are still in different components
-are paired and verified. So every link between components is found, and large groups of near copies take about as many
-pairs as they have members, not all pairs.
+Equal lists of sets under several keys count once. Some rounds of stars come first: in each list, one set of each
+component so far is compared with one set of the list's centre, the component of least hash, which is the same in most
+lists of a group. What is joined by then is left alone: of sets of one list that are still in different components, all
+pairs are compared. So every link between components is found, and a large group of near copies takes some pairs for
+each member, not all pairs. Parity sketches rule most pairs out for sure; the rest are compared exactly, on their whole
+texts.
 
 Null text or no words: an empty set, linked with nothing, its own component. Null doc_id: takes part; a component's id
 is its least doc_id that isn't null. Repeated rows: equal sets. Empty table: empty result. Further columns don't matter.
@@ -209,8 +211,8 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(blob, np.uint64, m, 4 + 12 * d + 4 * m), name[at], n[at].astype(np.int64), (wide >> np.uint32(31)).astype(bool)
 
 
-def _lists(index: DataFrame, percent: int) -> DataFrame:
-    """kind 0: a pair (a, b) to verify first. kind 1: set b of list a, its size n, and whether it is a probe there."""
+def _lists(index: DataFrame) -> DataFrame:
+    """list, set, n, probe: the sets that stand under one key, equal lists once in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(x) for b in batches for x in b.column("blob").to_pylist()]
@@ -247,23 +249,11 @@ def _lists(index: DataFrame, percent: int) -> DataFrame:
         at = ragged(first, size)
         owner = np.repeat(np.arange(len(first)), size)
         name, n, probe = name[at], n[at], probe[at]
-        start = np.cumsum(size) - size
-        # the centre is the set with the least name, the same one in most lists of a group
-        least = np.lexsort((name, owner))[start]
-        centre, centre_n = name[least][owner], n[least][owner]
-        link = np.flatnonzero(owner[1:] == owner[:-1])
-        a, b = np.concatenate([name[link], centre]), np.concatenate([name[link + 1], name])
-        na, nb = np.concatenate([n[link], centre_n]), np.concatenate([n[link + 1], n])
-        good = (a != b) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-        pair = np.unique(np.stack([np.minimum(a, b)[good], np.maximum(a, b)[good]], axis=1), axis=0) if good.any() else np.zeros((0, 2), np.uint64)
-        for lo in range(0, len(pair), 50_000):
-            x = pair[lo : lo + 50_000]
-            yield batch(kind=np.zeros(len(x), np.int32), a=signed(x[:, 0]), b=signed(x[:, 1]), n=np.zeros(len(x), np.int64), probe=np.zeros(len(x), bool))
         for lo in range(0, len(name), 50_000):
             s = slice(lo, lo + 50_000)
-            yield batch(kind=np.ones(len(name[s]), np.int32), a=signed(lid[owner[s]]), b=signed(name[s]), n=n[s], probe=probe[s])
+            yield batch(list=signed(lid[owner[s]]), set=signed(name[s]), n=n[s], probe=probe[s])
 
-    return index.mapInArrow(run, "kind int, a long, b long, n long, probe boolean")
+    return index.mapInArrow(run, "list long, set long, n long, probe boolean")
 
 
 def _zipped(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -325,7 +315,22 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
 
 
-def link(docs: DataFrame, k: int = 5, percent: int = 75, combine: int = 12, frequent: int = 64, class_size: int = 100_000) -> DataFrame:
+def _stars(apart: DataFrame, step: int) -> DataFrame:
+    """a, b, na, nb: in each list one set of a component, the same one in most lists, with one set of each other."""
+    one = apart.groupBy("list", "root").agg(F.min_by(F.struct("set", "n"), F.struct(F.xxhash64("set", F.lit(step)), "set")).alias("x"))
+    centre = one.groupBy("list").agg(F.min_by(F.struct("root", "x"), F.struct(F.xxhash64("root", F.lit(step)), "root")).alias("c"))
+    both = one.join(centre, "list").filter(F.col("root") != F.col("c.root"))
+    return both.select(F.col("c.x.set").alias("a"), F.col("x.set").alias("b"), F.col("c.x.n").alias("na"), F.col("x.n").alias("nb"))
+
+
+def _across(apart: DataFrame) -> DataFrame:
+    """a, b, na, nb: all sets of a list that are still in different components, but for two probes."""
+    x, y = apart.alias("x"), apart.alias("y")
+    on = (F.col("x.list") == F.col("y.list")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root")) & ~(F.col("x.probe") & F.col("y.probe"))
+    return x.join(y, on).select(F.col("x.set").alias("a"), F.col("y.set").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+
+
+def link(docs: DataFrame, k: int = 5, percent: int = 75, combine: int = 12, frequent: int = 64, class_size: int = 100_000, rounds: int = 3) -> DataFrame:
     """doc_id, rk, n_shingles and component_id of each row."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -339,33 +344,27 @@ def link(docs: DataFrame, k: int = 5, percent: int = 75, combine: int = 12, freq
     ranks = (token[order], order.astype(np.int64))
     buckets = 2 * partitions(spark)
     index = _index(docs, k, percent, ranks, combine, buckets).repartition(partitions(spark), "bucket")
-    lists = written(_lists(index, percent), "lists")
-
-    members = lists.filter("kind = 1").select(F.col("a").alias("list"), F.col("b").alias("set"), "n", "probe").distinct()
+    members = written(written(_lists(index), "lists").distinct(), "members")
     # one row stands for each set of a list
     standing = m.filter("kind = 0").join(members.select("set").distinct(), "set", "left_semi")
     standing = written(standing.select("set", "rk", "n", "sketch").dropDuplicates(["set"]), "standing")
+    texts = written(_zipped(docs, standing.select("rk", "set")), "texts")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        hopeful = written(possible(pairs, standing, percent), "possible")
-        wanted = hopeful.select(F.col("a").alias("set")).union(hopeful.select("b")).distinct().join(standing.select("set", "rk"), "set")
-        return written(verify(hopeful, written(_zipped(docs, wanted), "texts"), k, percent), "links")
-
-    first = lists.filter("kind = 0").select("a", "b").distinct()
-    links = checked(first)
-    found = components(links)
-
-    # what is still apart within a list
-    placed = members.join(found, members.set == found.node, "left").select("list", "set", "n", "probe", F.coalesce("root", "set").alias("root"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list")
-    apart = placed.join(mixed, "list", "left_semi")
-    x, y = apart.alias("x"), apart.alias("y")
-    near = (F.col("x.list") == F.col("y.list")) & (F.col("x.set") < F.col("y.set")) & (F.col("x.root") != F.col("y.root"))
-    near &= ~(F.col("x.probe") & F.col("y.probe")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
-    rest = x.join(y, near).select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct()
-    late = checked(rest.join(first, ["a", "b"], "left_anti"))
-    found = written(components(links.union(late)), "components")
+        return written(verify(written(possible(pairs, standing, percent), "possible"), texts, k, percent), "links")
+
+    tried, links, found = None, None, None
+    for step in range(rounds + 1):
+        placed = members.withColumn("root", F.col("set")) if found is None else members.join(found, members.set == found.node, "left").select("list", "set", "n", "probe", F.coalesce("root", "set").alias("root"))
+        mixed = placed.groupBy("list").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("list")
+        apart = written(placed.join(mixed, "list", "left_semi"), "apart")
+        pairs = (_stars(apart, step) if step < rounds else _across(apart)).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        more = checked(pairs)
+        links, tried = (more, pairs) if links is None else (links.union(more), tried.union(pairs))
+        if found is None or more.head(1):
+            found = written(components(links), "components")
 
     # the least doc_id of each component, then back to rows; a set held by many rows is salted
     held = rows.filter("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("least"), F.count("*").alias("c"))
