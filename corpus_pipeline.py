@@ -33,7 +33,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by rates of at most 1 that bring the domains' expected tokens to their targets."""
-    return mixing.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, most=1.0, slack=1.05)
+    return mixing.select(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS, most=1.0, slack=1.05, whole=1)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
