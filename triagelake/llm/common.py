@@ -174,11 +174,11 @@ def shingles(w: Words, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     rows, values = [w.doc[:m][good]], [h[good]]
     n = np.diff(w.first)
     for d in np.flatnonzero((n > 0) & (n < k)):
-        v = U(int(n[d]))
-        for x in w.hash[w.first[d] : w.first[d + 1]]:
-            v = v * U(0xC2B2AE3D27D4EB4F) + x
+        v = np.array([n[d]], np.uint64)
+        for i in range(w.first[d], w.first[d + 1]):
+            v = v * U(0xC2B2AE3D27D4EB4F) + w.hash[i : i + 1]
         rows.append(np.array([d]))
-        values.append(mix(np.array([v], np.uint64)))
+        values.append(mix(v))
     row, value = np.concatenate(rows), np.concatenate(values)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]

@@ -11,8 +11,9 @@ long document moves no faster than a short one, and by the inverse of the domain
 From r = 1 a step adds g . p_d to every rate and cuts it at the bounds: a rate follows from the list of steps (rounds x domains
 numbers on the driver) and the document's own posteriors, and no state is kept or joined.
 
-Targets are weights of the domains. Their total is set so that the domain with the largest target relative to its
-expected tokens keeps rate 1: that domain is read once, the others less. A total can also be given.
+Targets are weights of the domains. Their total is set so that one domain keeps its expected tokens and so a rate near
+1: `whole`, or else the domain whose target is largest relative to its tokens. `slack` scales the total, which can also
+be given.
 
 Null text or no words: no tokens, rate 1, posterior of the class frequencies. Null doc_id: takes part, never labelled.
 Labels outside the domains are not learned from. Repeated rows: rated alike. No labels: equal posteriors. A domain
@@ -95,7 +96,7 @@ def _totals(table: DataFrame, k: int, steps: list[np.ndarray], most: float) -> t
     return v[:k], v[k:].reshape(k, k)
 
 
-def solve(table: DataFrame, weights: list[float], total: float | None = None, most: float = np.inf, slack: float = 1.0, rounds: int = 20, close: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def solve(table: DataFrame, weights: list[float], total: float | None = None, most: float = np.inf, slack: float = 1.0, whole: int | None = None, rounds: int = 20, close: float = 1e-3) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected tokens reached, targets)."""
     k = len(weights)
     w = np.array(weights, float) / sum(weights)
@@ -103,6 +104,8 @@ def solve(table: DataFrame, weights: list[float], total: float | None = None, mo
     have, moments = _totals(table, k, steps, np.inf)
     if total is None:
         some = (w > 0) & (have > 0)
+        if whole is not None and some[whole]:
+            some = np.arange(k) == whole
         total = float((have[some] / w[some]).min()) if some.any() else 0.0
     target = w * total * slack
     steepest = float(np.linalg.eigvalsh(moments)[-1]) or 1.0  # a gradient step over this never overshoots
@@ -124,11 +127,11 @@ def solve(table: DataFrame, weights: list[float], total: float | None = None, mo
     return steps, have, target
 
 
-def rate(docs: DataFrame, labels: DataFrame, weights: list[float], total: float | None = None, model: Model | None = None, most: float = np.inf, slack: float = 1.0) -> DataFrame:
+def rate(docs: DataFrame, labels: DataFrame, weights: list[float], total: float | None = None, model: Model | None = None, most: float = np.inf, slack: float = 1.0, whole: int | None = None) -> DataFrame:
     """doc_id, rk, tokens, p and rate of each row."""
     model = fit(docs, labels) if model is None else model
     table = written(posteriors(docs, model), "posteriors")
-    steps, _, _ = solve(table.select("tokens", "p"), weights, total, most, slack)
+    steps, _, _ = solve(table.select("tokens", "p"), weights, total, most, slack, whole)
     k = len(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

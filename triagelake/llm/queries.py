@@ -73,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = mixing.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [0.05, 0.9, 0.05])
+    rated = mixing.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [0.05, 0.9, 0.05], whole=1)
     shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
     return rated.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate")
 
