@@ -4,9 +4,9 @@ Every string of `width` bytes holds one or more anchors: positions whose `gram`-
 such string. Anchors depend on content alone, so two equal strings have theirs at equal places, and only suffixes that
 start at anchors need sorting. Splitters sampled from these suffixes range-partition them by their leading bytes;
 each bucket sorts its suffixes by multikey quicksort (`multikey_order`: eight bytes at a time, ties go on to the next
-key) and compares neighbours. Suffixes with the leading bytes of a splitter may lie on both sides of a boundary; they are compared
-across buckets by an aggregation instead, and since a group too large for a bucket always holds a splitter, no bucket
-holds one.
+key) and compares neighbours. Splitters go on to the text a suffix belongs to, so a group of equal suffixes of any size
+is parted too; suffixes with the leading bytes of a splitter, which may lie on both sides of a boundary, are compared
+across buckets in the next step.
 
 An anchor whose whole surroundings (what any of its strings could cover) occur twice covers all of them. Where only
 the leading bytes are shared, the surroundings are fetched and each string through the anchor is compared; groups of
@@ -108,8 +108,16 @@ def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("rk"), "text")
 
 
-def _splitters(docs: DataFrame, buckets: int, width: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(leading bytes, gram hash) of buckets - 1 suffixes of a sample whose size depends on the buckets alone."""
+def _keys(*columns: np.ndarray) -> np.ndarray:
+    """The columns of each row as one string of bytes that sorts as they do."""
+    return np.ascontiguousarray(np.stack([c.astype(">u8") for c in columns], axis=1)).view(f"S{8 * len(columns)}").ravel()
+
+
+def _splitters(docs: DataFrame, buckets: int, width: int, gram: int) -> np.ndarray:
+    """Keys of buckets - 1 suffixes of a sample whose size depends on the buckets alone.
+
+    A key is leading bytes, gram hash, hash of the surroundings and text, so even copies of one suffix can be parted.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     want = 64 * buckets
     every = max(1, int(2 * size / (width - gram + 1)) // want)
@@ -120,29 +128,18 @@ def _splitters(docs: DataFrame, buckets: int, width: int, gram: int) -> tuple[np
             s = _Suffixes(b.column("text"), width, gram)
             rk = b.column("rk").to_numpy().astype(np.int64).view(np.uint64)
             pick = mix(rk[s.row] + s.pos.astype(np.uint64)) % U(by_place) == 0
-            yield batch(lead=signed(s.lead[pick]), gram=signed(s.gram[pick]))
-
-    some = _narrow(docs).filter(F.pmod("rk", F.lit(by_text)) == 0).mapInArrow(run, "lead long, gram long")
-    rows = some.orderBy(F.xxhash64("lead", "gram", F.lit(1))).limit(4 * want).toPandas()
-    lead, gram_ = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "gram"))
-    order = np.lexsort((gram_, lead))
-    step = order[np.linspace(0, len(order) - 1, buckets + 1).astype(int)[1:-1]] if len(order) else order
-    pairs = np.unique(np.stack([lead[step], gram_[step]], axis=1), axis=0) if len(step) else np.zeros((0, 2), np.uint64)
-    return pairs[:, 0].copy(), pairs[:, 1].copy()
-
-
-def _locate(lead: np.ndarray, gram: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, whether it has a splitter's leading bytes) of each suffix."""
-    a, b = cuts
-    n = len(a)
-    if not n:
-        return np.zeros(len(lead), np.int64), np.zeros(len(lead), bool)
-    lo, hi = np.searchsorted(a, lead, "left"), np.searchsorted(a, lead, "right")
-    bucket = lo.copy()
-    for i in np.flatnonzero(hi > lo):
-        bucket[i] = lo[i] + np.searchsorted(b[lo[i] : hi[i]], gram[i], "left")
-    p = np.minimum(bucket, n - 1)
-    return bucket, (bucket < n) & (a[p] == lead) & (b[p] == gram)
+            yield batch(lead=signed(s.lead[pick]), gram=signed(s.gram[pick]), context=signed(s.context[pick]), rk=signed(rk[s.row][pick]))
+
+    some = _narrow(docs).filter(F.pmod("rk", F.lit(by_text)) == 0).mapInArrow(run, "lead long, gram long, context long, rk long")
+    rows = some.orderBy(F.xxhash64("lead", "gram", "rk")).limit(4 * want).toPandas()
+    keys = np.sort(_keys(*(rows[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "gram", "context", "rk"))))
+    return np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
+
+
+def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leading bytes and gram hashes of splitters."""
+    raw = np.frombuffer(keys.tobytes(), ">u8").reshape(-1, 4) if len(keys) else np.zeros((0, 4), np.uint64)
+    return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
 
 
 FOUND = "kind int, rk long, pos int, l int, r int, gram long"
@@ -156,11 +153,10 @@ def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
         for b in batches:
             s = _Suffixes(b.column("text"), width, gram)
             rk = b.column("rk").to_numpy().astype(np.int64).view(np.uint64)
-            bucket, edge = _locate(s.lead, s.gram, shared.value)
-            order = np.lexsort((s.lead, bucket))
-            order = order[~edge[order]]
-            if not len(order):
+            if not len(s.row):
                 continue
+            bucket = np.searchsorted(shared.value, _keys(s.lead, s.gram, s.context, rk[s.row]), "left")
+            order = np.lexsort((s.lead, bucket))
             which, first = np.unique(bucket[order], return_index=True)
             blobs = []
             for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
@@ -191,10 +187,12 @@ def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
         equal = group & (context[1:] == context[:-1])
         before, after = np.append(False, equal), np.append(equal, False)
         full = before | after
-        # the first of each run of equal surroundings stands for it where its group holds others
+        # the first of each run of equal surroundings stands for it where its group holds others, or may do so in the
+        # next bucket, having the leading bytes of a splitter: what is asked for is compared wherever it lies
         start = np.flatnonzero(~np.append(False, group))
         runs = np.add.reduceat((~before).astype(np.int64), start)
-        many = np.repeat(runs > 1, np.diff(np.append(start, len(h))))
+        edge = np.isin(_keys(lead[start], h[start]), _keys(*_halves(shared.value)))
+        many = np.repeat((runs > 1) | edge, np.diff(np.append(start, len(h))))
         ask = ~before & many
         for kind, pick in ((FULL, np.flatnonzero(full)), (ASK, np.flatnonzero(ask))):
             for lo in range(0, len(pick), 50_000):
@@ -205,29 +203,6 @@ def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
     return packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(compare, FOUND)
 
 
-def _across(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
-    """The same for suffixes with a splitter's leading bytes, compared across boundaries."""
-    shared = docs.sparkSession.sparkContext.broadcast(cuts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = _Suffixes(b.column("text"), width, gram)
-            rk = b.column("rk").to_numpy().astype(np.int64)
-            _, edge = _locate(s.lead, s.gram, shared.value)
-            i = np.flatnonzero(edge)
-            if len(i):
-                yield batch(lead=signed(s.lead[i]), gram=signed(s.gram[i]), context=signed(s.context[i]), rk=rk[s.row[i]], pos=s.pos[i].astype(np.int32), l=s.left[i].astype(np.int32), r=s.right[i].astype(np.int32))
-
-    rows = written(_narrow(docs).mapInArrow(run, "lead long, gram long, context long, rk long, pos int, l int, r int"), "across")
-    key = ["lead", "gram", "context"]
-    runs = rows.groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct("rk", "pos", "l", "r")).alias("x"))
-    many = runs.groupBy("lead", "gram").agg(F.count("*").alias("m")).filter("m > 1").select("lead", "gram")
-    ask = runs.join(many, ["lead", "gram"]).select(F.lit(ASK).alias("kind"), "x.rk", "x.pos", "x.l", "x.r", "gram")
-    twice = runs.filter("c > 1").select(*key, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    full = rows.withColumn("salt", F.pmod(F.hash("rk", "pos"), F.lit(SALTS))).join(twice, [*key, "salt"])
-    return ask.union(full.select(F.lit(FULL).alias("kind"), "rk", "pos", "l", "r", "gram"))
-
-
 def _zipped(docs: DataFrame) -> DataFrame:
     """doc_id, rk and compressed text: what goes through a shuffle."""
 
@@ -360,7 +335,7 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 50_000
     spark = docs.sparkSession
     small_batches(spark)
     cuts = _splitters(docs, 2 * partitions(spark), width, gram)
-    found = written(_bucketed(docs, cuts, width, gram).union(_across(docs, cuts, width, gram)), "suffixes")
+    found = written(_bucketed(docs, cuts, width, gram), "suffixes")
     contexts = written(_contexts(docs, found.filter(F.col("kind") == ASK), width, gram), "contexts")
     whole = found.filter(F.col("kind") == FULL).select("rk", (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + F.col("r")).alias("e"))
     return whole.union(_matched(contexts, width, gram, hot)).groupBy("rk").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
