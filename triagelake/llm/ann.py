@@ -49,9 +49,9 @@ def nodes(df: DataFrame, id_column: str, vector: str, members: int) -> DataFrame
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of packed unit vectors."""
+    """Rows of packed unit vectors: half precision will do for the walk, the result is measured anew."""
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.float32).reshape(len(column), -1)
+    return np.frombuffer(raw, np.float16).reshape(len(column), -1).astype(np.float32)
 
 
 UNITS = "node long, unit binary"
@@ -65,7 +65,7 @@ def _units(found: DataFrame) -> DataFrame:
             for v in b.column("vec").to_pylist():
                 v = np.array(v)
                 v = v / np.abs(v).max()
-                out.append((v / np.sqrt(v @ v)).astype(np.float32).tobytes())
+                out.append((v / np.sqrt(v @ v)).astype(np.float16).tobytes())
             yield batch(node=b.column("node"), unit=pa.array(out, pa.binary()))
 
     return found.select("node", "vec").mapInArrow(run, UNITS)
@@ -154,6 +154,13 @@ def _keep(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition(partitions(edges.sparkSession), "node").sortWithinPartitions("node").mapInArrow(run, EDGES)
 
 
+def _named_by(graph: DataFrame, fan: int) -> DataFrame:
+    """node, other: a sample of those that name a node; of `fan` slots each keeps the one of least hash."""
+    back = graph.select(F.col("other").alias("node"), F.col("node").alias("other"))
+    slot = back.withColumn("slot", F.pmod(F.xxhash64("other", F.lit(3)), F.lit(fan)))
+    return slot.groupBy("node", "slot").agg(F.min_by("other", F.xxhash64("other", F.lit(5))).alias("other")).select("node", "other")
+
+
 def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int) -> DataFrame:
     """One round: neighbours of a node, in both directions, are compared with each other."""
 
@@ -182,10 +189,7 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int) -> DataFrame:
 
     n = partitions(units.sparkSession)
     out = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
-    back = graph.select(F.col("other").alias("hub"), "node")
-    # a hub's sample of those that name it: `fan` slots, each kept by the least hash
-    slot = back.withColumn("slot", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(fan)))
-    back = slot.groupBy("hub", "slot").agg(F.min_by("node", F.xxhash64("node", F.lit(5))).alias("node")).select("hub", "node")
+    back = _named_by(graph, fan).select(F.col("node").alias("hub"), F.col("other").alias("node"))
     own = graph.select(F.col("node").alias("hub")).distinct().select("hub", F.col("hub").alias("node"))
     around = out.union(back).union(own).distinct().join(units, "node")
     met = around.select("hub", "node", "unit").repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(local, EDGES)
@@ -215,13 +219,15 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
         if path:
             drop_path(spark, path)
         path, graph = new, spark.read.schema(EDGES).parquet(new)
-    return Index(rows, units, graph, total, dim, members)
+    # both directions serve the walk
+    walk = written(graph.select("node", "other").union(_named_by(graph, fan)).distinct(), "walk")
+    return Index(rows, units, walk, total, dim, members)
 
 
 STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
 
 
-def search(index: Index, queries: DataFrame, count: int, beam: int = 64, step: int = 16, most: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, count: int, beam: int = 128, step: int = 32, most: int = 60) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id."""
     spark = queries.sparkSession
     units, dim = index.units, max(index.dim, 1)
@@ -233,7 +239,7 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 64, step: i
     # at most _ENTRIES nodes, by hash
     entry = units.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(_ENTRIES).collect()
     entry_ids = np.array([r.node for r in entry], np.int64)
-    entry_x = np.frombuffer(b"".join(bytes(r.unit) for r in entry), np.float32).reshape(len(entry), -1) if entry else np.zeros((0, 0), np.float32)
+    entry_x = np.frombuffer(b"".join(bytes(r.unit) for r in entry), np.float16).reshape(len(entry), -1).astype(np.float32) if entry else np.zeros((0, 0), np.float32)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -272,8 +278,8 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 64, step: i
                 if met:
                     met, at = np.unique(np.array(met, np.int64), return_index=True)
                     new = ~np.isin(met, ids)
-                    x = np.frombuffer(b"".join([far[i] for i in at[new]]), np.float32).reshape(-1, dim)
-                    ids, v, done = np.append(ids, met[new]), np.append(v, x @ np.frombuffer(unit, np.float32)), np.append(done, np.zeros(int(new.sum()), bool))
+                    x = np.frombuffer(b"".join([far[i] for i in at[new]]), np.float16).reshape(-1, dim).astype(np.float32)
+                    ids, v, done = np.append(ids, met[new]), np.append(v, x @ np.frombuffer(unit, np.float16).astype(np.float32)), np.append(done, np.zeros(int(new.sum()), bool))
                     best = np.lexsort((ids, -v))[:beam]
                     ids, v, done = ids[best], v[best], done[best]
                 states.append((query, unit, ids.tobytes(), v.astype(np.float32).tobytes(), done.tobytes()))
@@ -287,7 +293,7 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 64, step: i
         at = state.mapInArrow(frontier, "query long, node long")
         if not at.head(1):
             break
-        met = at.join(index.graph.select("node", F.col("other")), "node").select("query", F.col("other").alias("node")).distinct().join(units, "node")
+        met = at.join(index.graph, "node").select("query", F.col("other").alias("node")).distinct().join(units, "node")
         met = met.groupBy("query").agg(F.collect_list(F.struct("node", "unit")).alias("x")).select("query", F.col("x.node").alias("met"), F.col("x.unit").alias("far"))
         state = written(state.join(met, "query", "left").mapInArrow(advance, STATE), "walk")
 
