@@ -86,11 +86,14 @@ def _best(node: np.ndarray, other: np.ndarray, score: np.ndarray, k: int) -> np.
 
 def _within(block: np.ndarray, ids: np.ndarray, k: int):
     """The k best of each row among a block of unit vectors."""
-    s = block @ block.T
-    np.fill_diagonal(s, -2)
-    k = min(k, len(ids) - 1)
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.repeat(ids, k), ids[top].ravel(), np.take_along_axis(s, top, axis=1).ravel()
+    k, other, score = min(k, len(ids) - 1), [], []
+    for lo in range(0, len(ids), 512):
+        s = block[lo : lo + 512] @ block.T
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -2
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        other.append(ids[top].ravel())
+        score.append(np.take_along_axis(s, top, axis=1).ravel())
+    return np.repeat(ids, k), np.concatenate(other), np.concatenate(score)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -203,7 +206,7 @@ class Index:
         self.rows, self.units, self.graph, self.total, self.dim, self.members = rows, units, graph, total, dim, members
 
 
-def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 20, fan: int = 16, rounds: int = 4, trees: int = 6, leaf: int = 100) -> Index:
+def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 24, fan: int = 16, rounds: int = 2, trees: int = 12, leaf: int = 1000) -> Index:
     spark = df.sparkSession
     rows = nodes(df, id_column, vector, members)
     sizes = valid(df, id_column, vector).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -227,7 +230,7 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
 STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
 
 
-def search(index: Index, queries: DataFrame, count: int, beam: int = 128, step: int = 32, most: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step: int = 48, most: int = 60) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id."""
     spark = queries.sparkSession
     units, dim = index.units, max(index.dim, 1)
