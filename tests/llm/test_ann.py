@@ -52,6 +52,18 @@ def test_recall(spark, clusters):
         assert all(abs(s - u @ x[v] / np.linalg.norm(x[v])) < 1e-12 for _, v, s in got[q])
 
 
+@pytest.mark.parametrize("noise", [0.01, 1e-4])
+def test_tight_cluster(spark, noise):
+    r = np.random.default_rng(6)
+    n = 5000
+    x = r.normal(size=64) + noise * r.normal(size=(n, 64))
+    ids = list(range(n))
+    got = run(frame(spark, ids, x), 50, 5)
+    want = brute(ids, x, [i for i in ids if i % 50 == 0], 5)
+    hits = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert hits >= 0.9 * 5 * len(want)
+
+
 def test_few_rows(spark):
     x = np.array([[1.0, 0], [1, 1], [0, 1]])
     got = run(frame(spark, [0, 50, 7], x), 50, 5)

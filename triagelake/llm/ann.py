@@ -48,25 +48,30 @@ def nodes(df: DataFrame, id_column: str, vector: str, members: int) -> DataFrame
     return part.select(F.col("ids")[0].alias("node"), F.col("ids").alias("members"), F.col("x").alias("vec"))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Rows of packed unit vectors: half precision will do for the walk, the result is measured anew."""
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.float16).reshape(len(column), -1).astype(np.float32)
+def _unit(raw: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Packed vectors as rows of length one, in doubles."""
+    x = np.frombuffer(b"".join(raw), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _matrix(column: pa.Array, dim: int, kind: str) -> np.ndarray:
+    return _unit(column.to_pylist(), dim, kind)
+
+
+def _kind(df: DataFrame, vector: str) -> str:
+    """How vectors are packed: floats as floats, all else as doubles, so nothing is lost and near copies stay apart."""
+    return "<f4" if df.schema[vector].dataType.simpleString() == "array<float>" else "<f8"
 
 
 UNITS = "node long, unit binary"
-EDGES = "node long, other long, score float"
+EDGES = "node long, other long, score double"
 
 
-def _units(found: DataFrame) -> DataFrame:
+def _units(found: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for v in b.column("vec").to_pylist():
-                v = np.array(v)
-                v = v / np.abs(v).max()
-                out.append((v / np.sqrt(v @ v)).astype(np.float16).tobytes())
-            yield batch(node=b.column("node"), unit=pa.array(out, pa.binary()))
+            yield batch(node=b.column("node"), unit=pa.array([np.array(v, kind).tobytes() for v in b.column("vec").to_pylist()], pa.binary()))
 
     return found.select("node", "vec").mapInArrow(run, UNITS)
 
@@ -111,22 +116,26 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield rest.combine_chunks()
 
 
-def _seed(units: DataFrame, k: int, trees: int, leaf: int, total: int, dim: int) -> DataFrame:
-    """First edges: the best of each node within a leaf of each tree, leaves being cut to blocks of `leaf` rows."""
+def _seed(units: DataFrame, k: int, trees: int, leaf: int, total: int, dim: int, kind: str) -> DataFrame:
+    """First edges: the best of each node within a leaf of each tree, leaves being cut to blocks of `leaf` rows.
+
+    A tight cluster falls into one leaf of every tree, so each tree cuts its leaves along a direction of its own.
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, total / leaf)))) + 1)
-    planes = np.random.default_rng(11).normal(size=(trees, dim, max(bits, 1))).astype(np.float32)
+    planes = np.random.default_rng(11).normal(size=(trees, dim, bits + 1))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _matrix(b.column("unit")) if b.num_rows else np.zeros((0, dim), np.float32)
+            x = _matrix(b.column("unit"), dim, kind) if b.num_rows else np.zeros((0, dim))
             for t in range(trees):
-                code = ((x @ planes[t]) > 0)[:, :bits] @ (1 << np.arange(bits)) + (t << 40) if bits else np.full(len(x), t << 40)
-                yield batch(leaf=code.astype(np.int64), node=b.column("node"), unit=b.column("unit"))
+                at = x @ planes[t]
+                code = (at > 0)[:, :bits] @ (1 << np.arange(bits)) + (t << 40) if bits else np.full(len(x), t << 40)
+                yield batch(leaf=code.astype(np.int64), along=at[:, bits], node=b.column("node"), unit=b.column("unit"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def block(t: pa.Table) -> pa.RecordBatch:
-            a, o, v = _within(_matrix(t.column("unit").combine_chunks()), t.column("node").to_numpy(), k)
-            return batch(node=a, other=o, score=v.astype(np.float32))
+            a, o, v = _within(_matrix(t.column("unit").combine_chunks(), dim, kind), t.column("node").to_numpy(), k)
+            return batch(node=a, other=o, score=v)
 
         rest = None
         for b in batches:
@@ -139,9 +148,9 @@ def _seed(units: DataFrame, k: int, trees: int, leaf: int, total: int, dim: int)
             yield block(rest)
 
     n = partitions(units.sparkSession)
-    placed = units.mapInArrow(place, "leaf long, node long, unit binary")
+    placed = units.mapInArrow(place, "leaf long, along double, node long, unit binary")
     # near leaves lie side by side, so small ones share a block with their neighbours; large ones are cut
-    placed = placed.repartitionByRange(n, "leaf", F.xxhash64("node")).sortWithinPartitions("leaf", F.xxhash64("node"))
+    placed = placed.repartitionByRange(n, "leaf", "along").sortWithinPartitions("leaf", "along")
     return placed.select("node", "unit").mapInArrow(compare, EDGES)
 
 
@@ -164,13 +173,13 @@ def _named_by(graph: DataFrame, fan: int) -> DataFrame:
     return slot.groupBy("node", "slot").agg(F.min_by("other", F.xxhash64("other", F.lit(5))).alias("other")).select("node", "other")
 
 
-def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int) -> DataFrame:
+def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kind: str) -> DataFrame:
     """One round: neighbours of a node, in both directions, are compared with each other."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "hub"):
             hub, node = t.column("hub").to_numpy(), t.column("node").to_numpy()
-            x = _matrix(t.column("unit").combine_chunks())
+            x = _matrix(t.column("unit").combine_chunks(), dim, kind)
             first = np.append(np.flatnonzero(np.append(True, hub[1:] != hub[:-1])), len(hub))
             out = []
             for lo, hi in zip(first[:-1], first[1:], strict=True):
@@ -188,7 +197,7 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int) -> DataFrame:
     def flush(out):
         a, o, s = (np.concatenate(x) for x in zip(*out, strict=True))
         i = _best(a, o, s, k)
-        return batch(node=a[i], other=o[i], score=s[i].astype(np.float32))
+        return batch(node=a[i], other=o[i], score=s[i])
 
     n = partitions(units.sparkSession)
     out = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
@@ -202,8 +211,8 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int) -> DataFrame:
 class Index:
     """Written tables: nodes (node, members, vec), units (node, unit) and the graph with the vectors of its far ends."""
 
-    def __init__(self, rows: DataFrame, units: DataFrame, graph: DataFrame, total: int, dim: int, members: int):
-        self.rows, self.units, self.graph, self.total, self.dim, self.members = rows, units, graph, total, dim, members
+    def __init__(self, rows: DataFrame, units: DataFrame, graph: DataFrame, total: int, dim: int, members: int, kind: str):
+        self.rows, self.units, self.graph, self.total, self.dim, self.members, self.kind = rows, units, graph, total, dim, members, kind
 
 
 def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 24, fan: int = 16, rounds: int = 2, trees: int = 12, leaf: int = 1000) -> Index:
@@ -212,19 +221,20 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
     sizes = valid(df, id_column, vector).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = sizes.d if sizes else 0
     rows = written(rows.filter(F.size("vec") == dim), "nodes")
-    units = written(_units(rows), "units")
+    kind = _kind(df, vector)
+    units = written(_units(rows, kind), "units")
     total = units.count()
-    graph = written(_keep(_seed(units, k, trees, leaf, total, max(dim, 1)), k), "graph")
+    graph = written(_keep(_seed(units, k, trees, leaf, total, max(dim, 1), kind), k), "graph")
     path = None
     for _ in range(rounds):
         new = scratch(spark, "graph")
-        _descend(graph, units, k, fan).write.parquet(new)
+        _descend(graph, units, k, fan, max(dim, 1), kind).write.parquet(new)
         if path:
             drop_path(spark, path)
         path, graph = new, spark.read.schema(EDGES).parquet(new)
     # both directions serve the walk
     walk = written(graph.select("node", "other").union(_named_by(graph, fan)).distinct(), "walk")
-    return Index(rows, units, walk, total, dim, members)
+    return Index(rows, units, walk, total, dim, members, kind)
 
 
 STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
@@ -233,22 +243,22 @@ STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
 def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step: int = 48, most: int = 60) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id."""
     spark = queries.sparkSession
-    units, dim = index.units, max(index.dim, 1)
+    units, dim, kind = index.units, max(index.dim, 1), index.kind
     asked = queries.filter(F.size("vec") == index.dim).select("id", F.transform("vec", lambda v: v + F.lit(0.0)).alias("vec"))
     # queries with one vector walk once, under the least id among them
     q = asked.groupBy("vec").agg(F.min("id").alias("id"))
     own = q.join(index.rows.select("vec", "node"), "vec", "left").select(F.col("id").alias("query"), F.col("node").alias("own"))
-    mine = written(_units(q.select(F.col("id").alias("node"), "vec")).withColumnRenamed("node", "query").join(own, "query"), "queries")
+    mine = written(_units(q.select(F.col("id").alias("node"), "vec"), "<f8").withColumnRenamed("node", "query").join(own, "query"), "queries")
     # at most _ENTRIES nodes, by hash
     entry = units.orderBy(F.xxhash64("node", F.lit(9)), "node").limit(_ENTRIES).collect()
     entry_ids = np.array([r.node for r in entry], np.int64)
-    entry_x = np.frombuffer(b"".join(bytes(r.unit) for r in entry), np.float16).reshape(len(entry), -1).astype(np.float32) if entry else np.zeros((0, 0), np.float32)
+    entry_x = _unit([bytes(r.unit) for r in entry], dim, kind)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows or not len(entry_ids):
                 continue
-            s = _matrix(b.column("unit")) @ entry_x.T
+            s = _matrix(b.column("unit"), dim, "<f8") @ entry_x.T
             keep = min(beam, 8, s.shape[1])
             top = np.argsort(-s, axis=1, kind="stable")[:, :keep]
             own = b.column("own").to_pylist()
@@ -257,9 +267,9 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step:
                 ids, v = entry_ids[top[i]], s[i][top[i]]
                 if o is not None:
                     other = ids != o
-                    ids, v = np.append(o, ids[other]), np.append(np.float32(1), v[other])
+                    ids, v = np.append(o, ids[other]), np.append(1.0, v[other])
                 nodes_.append(ids.tobytes())
-                scores.append(v.astype(np.float32).tobytes())
+                scores.append(v.tobytes())
                 expanded.append(np.zeros(len(ids), bool).tobytes())
             yield batch(query=b.column("query"), unit=b.column("unit"), nodes=pa.array(nodes_, pa.binary()), scores=pa.array(scores, pa.binary()), expanded=pa.array(expanded, pa.binary()))
 
@@ -276,16 +286,16 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step:
         for b in batches:
             states = []
             for query, unit, ids, v, done, met, far in zip(*(b.column(c).to_pylist() for c in ("query", "unit", "nodes", "scores", "expanded", "met", "far")), strict=True):
-                ids, v, done = np.frombuffer(ids, np.int64), np.frombuffer(v, np.float32), np.frombuffer(done, bool).copy()
+                ids, v, done = np.frombuffer(ids, np.int64), np.frombuffer(v, np.float64), np.frombuffer(done, bool).copy()
                 done[np.flatnonzero(~done)[:step]] = True
                 if met:
                     met, at = np.unique(np.array(met, np.int64), return_index=True)
                     new = ~np.isin(met, ids)
-                    x = np.frombuffer(b"".join([far[i] for i in at[new]]), np.float16).reshape(-1, dim).astype(np.float32)
-                    ids, v, done = np.append(ids, met[new]), np.append(v, x @ np.frombuffer(unit, np.float16).astype(np.float32)), np.append(done, np.zeros(int(new.sum()), bool))
+                    x = _unit([far[i] for i in at[new]], dim, kind)
+                    ids, v, done = np.append(ids, met[new]), np.append(v, x @ _unit([unit], dim, "<f8")[0]), np.append(done, np.zeros(int(new.sum()), bool))
                     best = np.lexsort((ids, -v))[:beam]
                     ids, v, done = ids[best], v[best], done[best]
-                states.append((query, unit, ids.tobytes(), v.astype(np.float32).tobytes(), done.tobytes()))
+                states.append((query, unit, ids.tobytes(), v.tobytes(), done.tobytes()))
             if states:
                 c = list(zip(*states, strict=True))
                 yield batch(query=pa.array(c[0], pa.int64()), **{n: pa.array(x, pa.binary()) for n, x in zip(("unit", "nodes", "scores", "expanded"), c[1:], strict=True)})
@@ -304,12 +314,12 @@ def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step:
         for b in batches:
             query, node = [], []
             for i, ids in zip(b.column("query").to_pylist(), b.column("nodes").to_pylist(), strict=True):
-                ids = np.frombuffer(ids, np.int64)[: max(4 * count, count + 8)]
+                ids = np.frombuffer(ids, np.int64)
                 query += [i] * len(ids)
                 node += ids.tolist()
             yield batch(query=pa.array(query, pa.int64()), node=pa.array(node, pa.int64()))
 
-    # the exact measure, in doubles on the vectors as given, of the nodes at the head of each beam
+    # the exact measure, in doubles on the vectors as given, of the whole beam
     found = state.mapInArrow(ends, "query long, node long").join(index.rows, "node").repartition(n, "query")
     given = q.select(F.col("id").alias("query"), F.col("vec").alias("mine"))
     pair = found.join(given, "query")
