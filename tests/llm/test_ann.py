@@ -64,6 +64,17 @@ def test_tight_cluster(spark, noise):
     assert hits >= 0.9 * 5 * len(want)
 
 
+def test_rounds_settle_the_graph(spark):
+    r = np.random.default_rng(7)
+    n = 4000
+    x = r.normal(size=(n, 24))
+    index = ann.build(frame(spark, range(n), x), trees=2, leaf=4)  # so poor a start that the rounds must find the neighbours
+    edges = {(e.node, e.other) for e in index.graph.collect()}
+    want = brute(list(range(n)), x, range(0, n, 20), 10)
+    hits = sum((q, v) in edges for q in want for v, _ in want[q])
+    assert hits >= 0.9 * 10 * len(want)
+
+
 def test_few_rows(spark):
     x = np.array([[1.0, 0], [1, 1], [0, 1]])
     got = run(frame(spark, [0, 50, 7], x), 50, 5)

@@ -29,6 +29,8 @@ from .common import batch, drop_path, partitions, scratch, written
 
 _ENTRIES = 64
 SALTS = 16
+#: Rows up to which the least widths of graph and beam were measured to do.
+BASE = 50_000
 
 
 def valid(df: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -173,8 +175,11 @@ def _named_by(graph: DataFrame, fan: int) -> DataFrame:
     return slot.groupBy("node", "slot").agg(F.min_by("other", F.xxhash64("other", F.lit(5))).alias("other")).select("node", "other")
 
 
-def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kind: str) -> DataFrame:
-    """One round: neighbours of a node, in both directions, are compared with each other."""
+def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kind: str, fresh: DataFrame | None) -> DataFrame:
+    """One round: neighbours of a node, in both directions, are compared with each other.
+
+    `fresh` holds the edges of the last round that were new: a node without any at either end has been compared as it is.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, "hub"):
@@ -203,11 +208,25 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kin
     out = graph.select(F.col("node").alias("hub"), F.col("other").alias("node"))
     back = _named_by(graph, fan).select(F.col("node").alias("hub"), F.col("other").alias("node"))
     own = graph.select(F.col("node").alias("hub")).distinct().select("hub", F.col("hub").alias("node"))
-    around = out.union(back).union(own).distinct().join(units, "node")
+    around = out.union(back).union(own).distinct()
+    if fresh is not None:
+        hubs = fresh.select(F.col("node").alias("hub")).union(fresh.select(F.col("other").alias("hub"))).distinct()
+        around = around.join(hubs, "hub", "left_semi")
+    around = around.join(units, "node")
     met = around.select("hub", "node", "unit").repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(local, EDGES)
     return _keep(graph.union(met), k)
 
 
+def width(total: int) -> int:
+    """Neighbours of a node in the graph: more as the rows grow, as near ones are harder to reach."""
+    return 24 + max(0, round(4 * np.log2(max(1, total) / BASE)))
+
+
+def breadth(total: int) -> int:
+    """Nodes in the beam of a query: grows with the square root of the rows."""
+    return max(192, round(192 * np.sqrt(total / BASE)))
+
+
 class Index:
     """Written tables: nodes (node, members, vec), units (node, unit) and the graph with the vectors of its far ends."""
 
@@ -215,7 +234,8 @@ class Index:
         self.rows, self.units, self.graph, self.total, self.dim, self.members, self.kind = rows, units, graph, total, dim, members, kind
 
 
-def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 24, fan: int = 16, rounds: int = 2, trees: int = 12, leaf: int = 1000) -> Index:
+def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int | None = None, fan: int = 16, delta: float = 0.01, rounds: int = 30, trees: int = 12, leaf: int = 1000) -> Index:
+    """The graph is settled when a round changes at most `delta` of its edges; k grows with the rows unless given."""
     spark = df.sparkSession
     rows = nodes(df, id_column, vector, members)
     sizes = valid(df, id_column, vector).groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -224,14 +244,21 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
     kind = _kind(df, vector)
     units = written(_units(rows, kind), "units")
     total = units.count()
+    k = k or width(total)
     graph = written(_keep(_seed(units, k, trees, leaf, total, max(dim, 1), kind), k), "graph")
-    path = None
+    path, fresh = None, None
     for _ in range(rounds):
         new = scratch(spark, "graph")
-        _descend(graph, units, k, fan, max(dim, 1), kind).write.parquet(new)
+        _descend(graph, units, k, fan, max(dim, 1), kind, fresh).write.parquet(new)
+        old, graph = graph, spark.read.schema(EDGES).parquet(new)
+        fresh = written(graph.select("node", "other").join(old.select("node", "other"), ["node", "other"], "left_anti"), "fresh")
         if path:
             drop_path(spark, path)
-        path, graph = new, spark.read.schema(EDGES).parquet(new)
+        path = new
+        if fresh.count() <= delta * k * total:
+            break
+    else:
+        raise RuntimeError("the graph did not settle")
     # both directions serve the walk
     walk = written(graph.select("node", "other").union(_named_by(graph, fan)).distinct(), "walk")
     return Index(rows, units, walk, total, dim, members, kind)
@@ -240,9 +267,11 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
 STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
 
 
-def search(index: Index, queries: DataFrame, count: int, beam: int = 192, step: int = 48, most: int = 60) -> DataFrame:
+def search(index: Index, queries: DataFrame, count: int, beam: int | None = None, step: int = 48, most: int = 60) -> DataFrame:
     """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id."""
     spark = queries.sparkSession
+    beam = beam or breadth(index.total)
+    step = max(step, beam // 4)
     units, dim, kind = index.units, max(index.dim, 1), index.kind
     asked = queries.filter(F.size("vec") == index.dim).select("id", F.transform("vec", lambda v: v + F.lit(0.0)).alias("vec"))
     # queries with one vector walk once, under the least id among them
