@@ -46,6 +46,14 @@ def test_frequent_lines_deplete(spark):
     assert {r.doc_id for r in quality.apply(df.withColumn("rk", df.source)).collect()} == {i for i in got if got[i]}
 
 
+def test_kept_documents_lose_frequent_lines(spark):
+    body = lambda i: "\n\n".join(" ".join("word" + chr(97 + i) + chr(97 + j) + "é" * k for k in range(30)) for j in range(3))
+    rows = [(i, f"Menu {i % 10}: Home\n{body(i)}\n  menu {i % 7}:   HOME \nend{chr(97 + i)}\r\n", "h", -1) for i in range(20)] + [(50, body(25), "h", -1), (51, other := f"Menu 1: Home\n{body(24)}", "g", -1), (52, None, "h", -1)]
+    got = {r.doc_id: (r.text, r.n_chars) for r in quality.apply(spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")).collect()}
+    want = {i: f"{body(i)}\nend{chr(97 + i)}\r\n" for i in range(20)}
+    assert got == {i: (t, len(t)) for i, t in want.items()} | {50: (body(25), -1), 51: (other, -1)}  # the limit is a host's own
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string")
     assert quality.judge(df).count() == 0

@@ -4,13 +4,13 @@ Text rules need one document only. Line frequency needs the corpus: each line is
 white space squeezed, trimmed) and hashed; for each host the distinct texts that hold a line are counted, so copies of
 one text count once. A line held by more than `line_share` of a host's distinct texts, and by more than `line_min` of
 them, is above the limit. A document that keeps less than `least_left` of its words without such lines is depleted and
-rejected, as is one that fails the text rules.
+rejected, as is one that fails the text rules. `apply` takes the lines above the limit out of the texts it returns.
 
 Counts are aggregated before each shuffle, and the join that brings frequent lines back to documents is salted: a line
 or host held by a third of all documents is spread over `SALTS` keys.
 
 Null text: no words, so it fails the text rules. Null host: a host of its own. Repeated rows: judged alike, each kept
-or rejected. Empty table: empty result. Further columns are carried by `apply` and do not matter here.
+or rejected. Empty table: empty result. Further columns are carried by `apply`, whose n_chars follows the text.
 """
 
 from __future__ import annotations
@@ -129,8 +129,8 @@ def frequent_lines(measured: DataFrame, line_share: float, line_min: int) -> Dat
     return held.join(size, "host").filter(F.col("n") > line_share * F.col("host_texts")).select("host", "line")
 
 
-def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_min: int = 10, least_left: float = 0.3) -> DataFrame:
-    """doc_id, rk, the counts, words_left, base_failed and kept; one row per row of docs."""
+def _judged(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_min: int = 10, least_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """What `judge` gives, and rk, host, lines: the hashes of the lines above the limit that a document holds."""
     m = measure(docs, host)
     # copies of one text share all their line hashes; the list itself names the text
     m = written(m.withColumn("text_key", F.xxhash64("line_hash")), "quality")
@@ -140,16 +140,63 @@ def judge(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_m
     mine = mine.select("rk", "host", F.col("x.line_hash").alias("line"), F.col("x.line_words").alias("words"))
     # rows that repeat share rk and lines: count each line of a document once for each time it stands in it
     mine = mine.groupBy("rk", "host", "line").agg(F.sum("words").alias("words"), F.count("*").alias("c")).withColumn("salt", salt)
-    lost = mine.join(bad, ["host", "line", "salt"]).groupBy("rk").agg(F.sum("words").alias("lost"))
+    # rows that share a text may differ in host, and so in what is above the limit
+    held = written(mine.join(bad, ["host", "line", "salt"]).groupBy("rk", "host").agg(F.sum("words").alias("lost"), F.collect_list("line").alias("lines")), "held")
+    lost = held.groupBy("rk").agg(F.sum("lost").alias("lost"))
     copies = F.count("*").alias("copies")
     lost = m.groupBy("rk").agg(copies).join(lost, "rk").select("rk", (F.col("lost") / F.col("copies")).cast("long").alias("lost"))
     out = m.join(lost, "rk", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= least_left * F.col("n_words"))).drop("line_hash", "line_words", "lost", "text_key", "host")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= least_left * F.col("n_words"))).drop("line_hash", "line_words", "lost", "text_key", "host")
+    return out, held.select("rk", "host", "lines")
 
 
-def apply(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
-    verdict = judge(docs, **options).filter("kept").select(F.col("rk").alias("__rk")).distinct()
-    return docs.withColumn("__rk", row_key()).join(verdict, "__rk", "left_semi").drop("__rk")
+def judge(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, rk, the counts, words_left, base_failed and kept; one row per row of docs."""
+    return _judged(docs, **options)[0]
+
+
+def _without(texts: pa.Array, lines: list[list[int] | None]) -> list[str | None]:
+    """The texts without the lines whose normalised hashes are given; each goes with the break that ends it."""
+    out = texts.to_pylist()
+    for i, bad in enumerate(lines):
+        if bad:
+            raw = out[i].encode()
+            data = np.frombuffer(raw, np.uint8)
+            _, _, normal, _, _ = _lines(w := Words(data, np.array([0, len(data)])))
+            gone, at, kept = np.isin(normal.view(np.int64), np.array(bad, np.int64)), 0, []
+            pieces = raw.split(b"\n")
+            bounds = np.cumsum([0] + [len(x) + 1 for x in pieces])
+            for j, x in enumerate(pieces):
+                worded = np.searchsorted(w.start, bounds[j]) < np.searchsorted(w.start, bounds[j] + len(x))
+                if not (worded and gone[at]):
+                    kept.append(x)
+                at += int(worded)
+            out[i] = b"\n".join(kept).decode()
+    return out
+
+
+def apply(docs: DataFrame, host: str = "source", **options) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, their texts without the lines above the limit; n_chars follows the text."""
+    schema = docs.schema
+    verdict, held = _judged(docs, host=host, **options)
+    verdict = verdict.filter("kept").select(F.col("rk").alias("__rk")).distinct()
+    gone = held.select(F.col("rk").alias("__rk"), F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = {n: b.column(n) for n in schema.names}
+            lines = b.column("__lines").to_pylist()
+            if any(lines):
+                text = _without(columns["text"], lines)
+                columns["text"] = pa.array(text, columns["text"].type)
+                if "n_chars" in columns:
+                    old = columns["n_chars"].to_pylist()
+                    new = [len(t) if x else n for t, x, n in zip(text, lines, old, strict=True)]
+                    columns["n_chars"] = pa.array(new, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    mine = docs.withColumn("__rk", row_key()).join(verdict, "__rk", "left_semi")
+    mine = mine.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
+    return mine.join(gone, ["__rk", "__host"], "left").select(*schema.names, "__lines").mapInArrow(run, schema)
