@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from triagelake.functions import text as X
 from triagelake.operators import groups, tier
 
@@ -44,3 +45,22 @@ def test_components_and_baseline(spark):
     assert {(r.node, r.root) for r in groups.components(e, "a", "b").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
     state = groups.longitudinal(spark.range(0, 5).toDF("e"), spark.range(3, 8).toDF("e"), "e")
     assert {r.e: r.state for r in state.collect()} == {0: "new", 1: "new", 2: "new", 3: "recurring", 4: "recurring", 5: "stale", 6: "stale", 7: "stale"}
+
+
+def test_components_of_all_part_supplier_edges(spark, tmp_path):
+    pairs = [(p, 1 + p // 3) for p in range(0, 600, 2)] + [(7, 900), (507, 900), (1007, 500), (7, 900), (507, 1300), (None, 5)]
+    rows = [(i, 2 + i % 3, float(i % 50), p, s) for i, (p, s) in enumerate(pairs)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for p, s in pairs:
+        if p is not None:
+            a, b = root(2 * p), root(2 * s + 1)
+            up[max(a, b)] = min(a, b)
+    got = entry.queries()["connected_components_whole"](spark, str(tmp_path)).collect()
+    assert len(got) == len(up) and {r.node: r.root for r in got} == {x: root(x) for x in up}
