@@ -50,6 +50,16 @@ def test_terms(spark):
     assert clean.filter("n_chars <> length(text)").count() == 0
 
 
+def test_terms_far_from_their_entity(spark):
+    r = random.Random(3)
+    filler = lambda: " ".join(r.choice("alpha beta gamma delta the of and wrote to".split()) for _ in range(60))
+    rows = [(i, f"Zorblax {filler()} wrote boss@corp.com {filler()} ZORBLAX") for i in range(4)] + [(10 + i, filler()) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert all("zorblax" not in t.lower() for t in clean.values()) and "[EMAIL]" in clean[0]
+    assert clean[0].split() == ["[EMAIL]" if w == "boss@corp.com" else w for w in rows[0][1].split()[1:-1]]
+
+
 @pytest.mark.parametrize("rows", [[], [(1, "nothing here")]])
 def test_nothing_found(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -2,14 +2,15 @@
 
 Spans of four kinds are found by pattern: email, ip, card (Luhn) and phone. Each distinct value is a protected entity.
 The corpus tells how strongly a term reveals an entity: with n(t) and n(e) the rows that hold a term and an entity, and
-n(e, t) those with the term within `reach` words of it, the disclosed share of the entity's information is
+n(e, t) those with both, wherever in the text, the disclosed share of the entity's information is
 PMI(e, t) / IC(e) = 1 - log(n(e, t) / n(t)) / log(n(e) / N), which is 1 if the term stands nowhere else. A term of at
-least `least` such texts whose share is at least `threshold` is removed where it stands near that entity. So in
+least `least` such texts whose share is at least `threshold` is removed wherever it stands in a text with that entity. So in
 `sanitise`, patterned spans are generalised to their kind and disclosing terms are removed.
 
 Copies of one text are one text towards `least`. Counts by term come from all texts and are summed in each batch before the shuffle;
-pairs are only made of an entity and the words around it, so their number is linear in the text. The join of pairs and
-counts is by term, counts side already one row each; pairs are aggregated first.
+pairs are only made of the distinct words of a text and those of its entities that `least` texts hold, as no other can
+have a term of so many texts. The join of pairs and counts is by term, counts side already one row each; pairs are
+aggregated first.
 
 Null text: empty, no spans. Null doc_id: carried. Repeated rows: judged alike. Empty table: empty result. Very long
 texts: whole, each pattern in linear time. Further columns are carried by `sanitise` alone.
@@ -22,8 +23,8 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -96,26 +97,16 @@ def _covered(spans: list[tuple[str, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], reach: int) -> Iterator[tuple[int, str, int, int]]:
-    """(entity, term, start, end) of the terms within reach of each span, outside all spans."""
-    starts, ends = _covered(spans)
-    for kind, lo, hi in spans:
-        entity = _value(kind, text[lo:hi])
-        width = 16 * reach
-        while True:  # a stretch that surely holds more than `reach` words before the span
-            begin = max(0, lo - width)
-            behind = [m.span() for m in _TERM.finditer(text, begin, lo)]
-            if begin == 0 or len(behind) > reach:
-                break
-            width *= 2
-        ahead = [m.span() for m in islice(_TERM.finditer(text, hi), reach)]
-        for s, e in behind[-reach:] + ahead:
-            i = bisect_left(starts, e) - 1  # the last joined span that begins before the term ends
-            if i < 0 or ends[i] <= s:
-                yield entity, text[s:e].lower(), s, e
-
-
-PAIRS = "tk long, entity long, term long, once int, s int, e int"
+def _terms(text: str) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the terms outside all spans."""
+    starts, ends = _covered(find(text))
+    for m in _TERM.finditer(text):
+        s, e = m.span()
+        i = bisect_left(starts, e) - 1  # the last joined span that begins before the term ends
+        if i < 0 or ends[i] <= s:
+            yield m[0].lower(), s, e
+
+
 SPANS = "doc_id long, tk long, n_email long, n_ip long, n_card long, n_phone long, base string"
 
 
@@ -141,27 +132,50 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").mapInArrow(run, SPANS)
 
 
-def _pairs(docs: DataFrame, reach: int) -> DataFrame:
-    """Terms near entities, by text and place; a row without a term for each entity of a row. once: the first of its kind in a row."""
+def _entities(docs: DataFrame) -> DataFrame:
+    """tk, entity: the distinct entities of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for tk, text in zip(b.column("tk").to_pylist(), _texts(b.column("text")), strict=True):
-                spans = find(text)
-                if not spans:
-                    continue
-                rows += [(tk, x, None, 1, 0, 0) for x in {_value(k, text[s:e]) for k, s, e in spans}]
-                seen = set()
-                for entity, term, s, e in _near(text, spans, reach):
-                    key = entity, _hash(term)
-                    rows.append((tk, *key, int(key not in seen), s, e))
-                    seen.add(key)
-            for lo in range(0, len(rows), 50_000):
-                c = list(zip(*rows[lo : lo + 50_000], strict=True))
-                yield batch(tk=pa.array(c[0], pa.int64()), entity=pa.array(c[1], pa.int64()), term=pa.array(c[2], pa.int64()), once=pa.array(c[3], pa.int32()), s=pa.array(c[4], pa.int32()), e=pa.array(c[5], pa.int32()))
-
-    return docs.select(text_key().alias("tk"), "text").mapInArrow(run, PAIRS)
+            rows = [(tk, x) for tk, text in zip(b.column("tk").to_pylist(), _texts(b.column("text")), strict=True) for x in {_value(k, text[s:e]) for k, s, e in find(text)}]
+            if rows:
+                tk, entity = zip(*rows, strict=True)
+                yield batch(tk=pa.array(tk, pa.int64()), entity=pa.array(entity, pa.int64()))
+
+    return docs.select(text_key().alias("tk"), "text").mapInArrow(run, "tk long, entity long")
+
+
+def _holding(docs: DataFrame, listed: DataFrame, column: str) -> DataFrame:
+    """tk, text and column of the rows whose text is listed; salted, as copies of a text may be many."""
+    mine = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = docs.select(text_key().alias("tk"), "text", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
+    return texts.join(mine, ["tk", "salt"]).select("tk", "text", column)
+
+
+def _pairs(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """tk, entity, term: each distinct term of a row with each of its listed entities."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tk, text, entities in zip(b.column("tk").to_pylist(), _texts(b.column("text")), b.column("entities").to_pylist(), strict=True):
+                term = np.array([_hash(t) for t in {t for t, _, _ in _terms(text)}], np.int64)
+                for entity in entities if len(term) else ():
+                    yield batch(tk=np.full(len(term), tk), entity=np.full(len(term), entity), term=term)
+
+    return _holding(docs, listed, "entities").mapInArrow(run, "tk long, entity long, term long")
+
+
+def _places(docs: DataFrame, listed: DataFrame) -> DataFrame:
+    """tk, s, e: where the listed terms stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for tk, text, terms in zip(b.column("tk").to_pylist(), _texts(b.column("text")), b.column("terms").to_pylist(), strict=True):
+                bad = set(terms)
+                at = np.array([(s, e) for t, s, e in _terms(text) if _hash(t) in bad], np.int32).reshape(-1, 2)
+                yield batch(tk=np.full(len(at), tk), s=at[:, 0], e=at[:, 1])
+
+    return _holding(docs, listed, "terms").mapInArrow(run, "tk long, s int, e int")
 
 
 def holders(docs: DataFrame) -> DataFrame:
@@ -178,24 +192,26 @@ def holders(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(docs: DataFrame, reach: int = 16, threshold: float = 0.9, least: int = 3) -> DataFrame | None:
+def disclosing(docs: DataFrame, threshold: float = 0.9, least: int = 3) -> DataFrame | None:
     """tk, s, e: the places of disclosing terms, or None where there are none."""
     small_batches(docs.sparkSession)
-    pairs = written(_pairs(docs, reach), "pairs")
     # a term stands for its entity only if it goes with it in several different texts
-    joint = pairs.filter("term IS NOT NULL").groupBy("entity", "term", "tk").agg(F.sum("once").alias("c"))
-    joint = joint.groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    joint = written(joint, "joint")
-    if not joint.head(1):
+    entities = written(_entities(docs).groupBy("entity", "tk").agg(F.count("*").alias("c")), "entities")
+    known = entities.groupBy("entity").agg(F.sum("c").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
+    known = written(known.select("entity", "n_entity"), "known")
+    if not known.head(1):
         return None
-    entities = pairs.filter("term IS NULL").groupBy("entity").agg(F.sum("once").alias("n_entity"))
+    listed = entities.join(known, "entity").groupBy("tk").agg(F.collect_list("entity").alias("entities"))
+    pairs = written(_pairs(docs, listed).groupBy("entity", "term", "tk").agg(F.count("*").alias("c")), "pairs")
+    joint = pairs.groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
     total = docs.count()
-    known = joint.join(entities, "entity").join(holders(docs), "term")
+    joint = joint.join(known, "entity").join(holders(docs), "term")
     share = 1 - F.log(F.col("n_both") / F.col("n")) / F.log(F.col("n_entity") / F.lit(float(total)))
-    bad = known.withColumn("share", share).filter((F.col("n_entity") < total) & (F.col("share") >= threshold)).select("entity", "term")
+    bad = joint.withColumn("share", share).filter((F.col("n_entity") < total) & (F.col("share") >= threshold)).select("entity", "term")
     bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    places = pairs.withColumn("salt", F.pmod(F.hash("tk", "s"), F.lit(SALTS))).join(bad, ["entity", "term", "salt"])
-    return written(places.select("tk", "s", "e").distinct(), "terms")
+    hit = pairs.withColumn("salt", F.pmod(F.hash("tk"), F.lit(SALTS))).join(bad, ["entity", "term", "salt"])
+    hit = hit.groupBy("tk").agg(F.collect_set("term").alias("terms"))
+    return written(_places(docs, hit).distinct(), "terms")
 
 
 def _by_text(places: DataFrame) -> DataFrame:
