@@ -42,3 +42,14 @@ def test_random(name, texts):
     ids, counts = e.encode(pa.array(texts, pa.string()))
     want = [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert ids.tolist() == [y for x in want for y in x] and counts.tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_pieces_of_equal_hash_differ(name, monkeypatch):
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    check(name, [a, a.translate({97: 98, 98: 97}), a[:1024], a.translate({97: 98, 98: 97})[:1024]])
+    # even if every hash is the same, the bytes decide
+    monkeypatch.setattr(tokens, "range_hashes", lambda data, start, end, seed=1: (end - start).astype(np.uint64) // 20)
+    check(name, TEXTS + ["abcdefghijklmnopqrstuvwxyz0123456789 abcdefghijklmnopqrXtuvwxyz0123456789", "aaaaaaaaaabbbbbbbbbbaaaaaaaaaa aaaaaaaaaabbbbcbbbbbaaaaaaaaaa"])

@@ -6,6 +6,7 @@ how many rows an Arrow batch holds.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -19,9 +20,15 @@ U = np.uint64
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share; it is the session's spark.checkpoint.dir."""
+    """A fresh path in the folder all executors share; it is the session's spark.checkpoint.dir.
+
+    Where that is unset a session of one process, as in tests, gets a folder of its own; a cluster must name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "/tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,6 +47,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -50,11 +65,14 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def row_key():
+    """128 bits that name a row by its doc_id and text; rows that repeat in both share it, and every result."""
+    return F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("\x1f"), F.coalesce(F.col("text"), F.lit("")))))
 
 
-def row_key():
-    """64 bits that name a row by its doc_id and text; rows that repeat in both share it, and every result."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00")), F.coalesce(F.col("text"), F.lit("")))
+def text_key():
+    """128 bits that name a text."""
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,34 +112,75 @@ def _table(seed: int) -> np.ndarray:
 
 
 class Roller:
-    """Hashes of any byte range of a block from prefix sums modulo 2**64."""
+    """Hashes of all windows of a block that are a fixed, short number of bytes long, from prefix sums modulo 2**64.
+
+    Such sums have systematic collisions among ranges of 1,024 bytes and more, so they serve for windows up to 512 only;
+    whatever may be longer goes through `range_hashes`.
+    """
 
-    _pow: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    _base = 0x9E3779B97F4A7C15 | 1
+    _pow: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def __init__(self, data: np.ndarray, seed: int = 1):
         n = len(data) + 1
-        have = Roller._pow
-        if len(have[0]) < n:
+        have = Roller._pow.get(seed)
+        if have is None or len(have[0]) < n:
+            base = 0x9E3779B97F4A7C15 * (2 * seed + 1) % (1 << 64) | 5  # 5 modulo 8: of the longest period
+            base -= base & 2
             size = max(n, BLOCK * 5 // 4)
-            p, q = np.full(size, self._base, np.uint64), np.full(size, pow(self._base, -1, 1 << 64), np.uint64)
+            p, q = np.full(size, base, np.uint64), np.full(size, pow(base, -1, 1 << 64), np.uint64)
             p[0] = q[0] = 1
             have = (np.cumprod(p), np.cumprod(q))
             if size <= 4 * BLOCK:
-                Roller._pow = have
+                Roller._pow[seed] = have
         self.inv = have[1]
         self.sums = np.zeros(n, np.uint64)
         np.cumsum(_table(seed)[data] * have[0][: n - 1], out=self.sums[1:])
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges of at most 512 bytes."""
+        assert not len(start) or int((end - start).max()) <= 512
         return mix((self.sums[end] - self.sums[start]) * self.inv[start] + (end - start).astype(np.uint64))
 
     def grams(self, k: int) -> np.ndarray:
         """The hash of each k bytes."""
+        assert k <= 512
         m = len(self.sums) - k
         return mix((self.sums[k:] - self.sums[:m]) * self.inv[:m]) if m > 0 else np.zeros(0, np.uint64)
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Ranges longer than this are hashed one by one.
+LONG = 512
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a little-endian number; zeros follow the data."""
+    padded = np.zeros(len(data) + 9, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """64-bit hashes of byte ranges of any length: eight bytes a round, each round through the finaliser."""
+    n = end - start
+    out = mix(n.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
+    at, todo, p = lanes(data), np.flatnonzero((n > 0) & (n <= LONG)), 0
+    where, left, h = start[todo], n[todo], out[todo]
+    while len(todo):
+        h = mix(h ^ (at[where] & _MASK[np.minimum(left, 8)]))
+        p += 8
+        more = left > 8
+        if not more.all():
+            done = ~more
+            out[todo[done]] = h[done]
+            todo, where, left, h = todo[more], where[more], left[more], h[more]
+        where, left = where + 8, left - 8
+    for i in np.flatnonzero(n > LONG):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=int(seed).to_bytes(4, "little"))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
@@ -151,7 +210,7 @@ class Words:
         self.end = np.flatnonzero(solid & stop[1:]) + 1
         self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         self.first = np.searchsorted(self.doc, np.arange(len(self.offsets)))
-        self.hash = Roller(self.data).ranges(self.start, self.end) if hashes else None
+        self.hash = range_hashes(self.data, self.start, self.end) if hashes else None
 
 
 def windows(values: np.ndarray, k: int) -> np.ndarray:

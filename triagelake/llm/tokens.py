@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import Roller, blocks, ragged, text_buffers
+from .common import _MASK, blocks, lanes, ragged, range_hashes, text_buffers
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -62,6 +62,8 @@ class Encoder:
         self.keys = np.zeros(0, np.uint64)
         self.at = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
+        self.size, self.head, self.tail = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.long: dict[int, bytes] = {}  # the bytes of longer pieces, by key
         self.ids = np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -110,7 +112,7 @@ class Encoder:
         if not self.kind:
             return self._join(self._whole(["" if x is None else x for x in column.to_pylist()]))
         odd = np.zeros(n, bool)
-        keys, owner, spans = [], [], []
+        keys, owner, spans, ends_ = [], [], [], []
         for lo, hi in blocks(offs):
             o = offs[lo : hi + 1] - offs[lo]
             d = data[offs[lo] : offs[hi]]
@@ -134,19 +136,28 @@ class Encoder:
             row = np.searchsorted(o, start, "right") - 1
             good = ~odd[lo:hi][row]
             start, end, row = start[good], end[good], row[good]
-            keys.append(Roller(d, 5).ranges(start, end))
+            keys.append(range_hashes(d, start, end, 5))
+            at, few = lanes(d), np.minimum(end - start, 8)
+            ends_.append((at[start] & _MASK[few], at[end - few] & _MASK[few]))
             owner.append(row + lo)
             spans.append(start + offs[lo])
             spans.append(end + offs[lo])
+        if keys:
+            key, row = np.concatenate(keys), np.concatenate(owner)
+            begin, stop = np.concatenate(spans[::2]), np.concatenate(spans[1::2])
+            head, tail = (np.concatenate(x) for x in zip(*ends_, strict=True))
+            found, where, back = np.unique(key, return_index=True, return_inverse=True)
+            slot = self._slots(found, where, begin, stop, head, tail, data)[back]
+            size = stop - begin
+            false = (self.size[slot] != size) | (self.head[slot] != head) | (self.tail[slot] != tail)
+            for i in np.flatnonzero((size > 16) & ~false):
+                false[i] = self.long[int(key[i])] != data[begin[i] : stop[i]].tobytes()
+            odd[row[false]] = True
         whole = np.flatnonzero(odd)
         extra = dict(zip(whole.tolist(), self._whole([x if x is not None else "" for x in column.take(pa.array(whole)).to_pylist()]), strict=True)) if len(whole) else {}
         if not keys:
             return self._join([extra.get(i, np.zeros(0, np.uint32)) for i in range(n)])
-        key, row = np.concatenate(keys), np.concatenate(owner)
-        begin, stop = np.concatenate(spans[::2]), np.concatenate(spans[1::2])
-        found, where, back = np.unique(key, return_index=True, return_inverse=True)
-        slot = self._slots(found, where, begin, stop, data)
-        at, length = self.at[slot][back], self.length[slot][back]
+        at, length = self.at[slot], self.length[slot]
         ids = self.ids[ragged(at, length)]
         counts = np.bincount(row, weights=length, minlength=n).astype(np.int64)
         if not extra:
@@ -154,8 +165,8 @@ class Encoder:
         ends = np.cumsum(counts)
         return self._join([extra[i] if i in extra else ids[ends[i] - counts[i] : ends[i]] for i in range(n)])
 
-    def _slots(self, found, where, begin, stop, data) -> np.ndarray:
-        """Places in the cache of the distinct pieces, encoding those it lacks."""
+    def _slots(self, found, where, begin, stop, head, tail, data) -> np.ndarray:
+        """Places in the cache of the distinct keys; the first piece of each that it lacks is encoded."""
         if len(self.keys) + len(found) > CACHE:
             self._reset()
         p = np.searchsorted(self.keys, found)
@@ -175,6 +186,9 @@ class Encoder:
             keys = np.concatenate([self.keys, found[new]])
             order = np.argsort(keys, kind="stable")
             self.keys, self.at, self.length = keys[order], np.concatenate([self.at, at])[order], np.concatenate([self.length, length])[order]
+            first = where[new]
+            self.size, self.head, self.tail = (np.concatenate([x, y[first]])[order] for x, y in ((self.size, stop - begin), (self.head, head), (self.tail, tail)))
+            self.long.update((int(found[new[i]]), bytes(raw[b[i] : e[i]])) for i in np.flatnonzero(stop[first] - begin[first] > 16))
         return np.searchsorted(self.keys, found)
 
     @staticmethod
