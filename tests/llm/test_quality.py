@@ -42,7 +42,7 @@ def test_frequent_lines_deplete(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.kept for r in quality.judge(df).collect()}
     assert all(got[i] == (i % 2 == 0) for i in range(60))
-    assert all(got[100 + i] for i in range(60))  # copies of one text count once
+    assert all(got[100 + i] for i in range(60))  # copies are one document
     assert {r.doc_id for r in quality.apply(df.withColumn("rk", df.source)).collect()} == {i for i in got if got[i]}
 
 
@@ -63,3 +63,13 @@ def test_empty(spark):
 def test_clashing_names(spark, column):
     df = spark.createDataFrame([(1, "a b", "s", "z")], f"doc_id long, text string, source string, {column} string")
     assert quality.judge(df).count() == 1
+
+
+def test_lines_and_words_with_equal_polynomial_hashes_differ(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    rows = [(1, f"{a}\n{b}\n{a}\n", "h"), (2, f"{a} u v {b} u v {a} u v", "h"), (3, " ".join(a) + "\n" + " ".join(b), "h")]
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert got == {d: base(t) for d, t, _ in rows}

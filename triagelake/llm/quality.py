@@ -1,14 +1,17 @@
 """Quality rules over whole documents: text rules and cross-document line frequency.
 
 Text rules need one document only. Line frequency needs the corpus: each line is normalised (lower case, digits as 0,
-white space squeezed, trimmed) and hashed; for each host the distinct texts that hold a line are counted, so copies of
-one text count once. A line held by more than `line_share` of a host's distinct texts, and by more than `line_min` of
-them, is above the limit. A document that keeps less than `least_left` of its words without such lines is depleted and
-rejected, as is one that fails the text rules. `apply` takes the lines above the limit out of the texts it returns.
+white space squeezed, trimmed) and hashed; for each host the distinct documents that hold a line are counted: equal
+texts are copies of one document, texts that differ in anything are two. A line held by more than `line_share` of a
+host's documents, and by more than `line_min` of them, is above the limit. A document that keeps less than `least_left`
+of its words without such lines, or fewer than `least_words`, is depleted and rejected, as is one that fails the text
+rules. `apply` takes the lines above the limit out of the texts it returns.
 
 Counts are aggregated before each shuffle, and the join that brings frequent lines back to documents is salted: a line
 or host held by a third of all documents is spread over `SALTS` keys.
 
+Rows and texts are named by 128 bits, lines by 64: two lines of equal hash are taken for one.
+
 Null text: no words, so it fails the text rules. Null host: a host of its own. Repeated rows: judged alike, each kept
 or rejected. Empty table: empty result. Further columns are carried by `apply`, whose n_chars follows the text.
 """
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, U, Words, batch, blocks, mix, row_key, small_batches, text_buffers, windows, written
+from .common import U, Words, batch, blocks, free_name, mix, range_hashes, row_key, small_batches, text_buffers, text_key, windows, written
 
 SALTS = 32
 _SYMBOL = np.zeros(256, np.int64)
@@ -68,25 +71,18 @@ def _lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np
     n = g - f
     has = n > 0
     start, end, row, f, g, n = (x[has] for x in (start, end, row, f, g, n))
-    exact = Roller(w.data, 2).ranges(start, end)
+    exact = range_hashes(w.data, start, end, 2)
     low = w.data.copy()
     up = (low >= 65) & (low <= 90)
     low[up] += 32
     low[(low >= 48) & (low <= 57)] = 48
-    word = Roller(low, 3).ranges(w.start, w.end)
-    # a line's normal form: its normalised words in order, joined by one space
-    p = np.zeros(len(word) + 1, np.uint64)
-    base, inv = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
-    up_ = np.full(len(word) + 1, base, np.uint64)
-    dn_ = np.full(len(word) + 1, inv, np.uint64)
-    up_[0] = dn_[0] = 1
-    up_, dn_ = np.cumprod(up_), np.cumprod(dn_)
-    np.cumsum(word * up_[:-1], out=p[1:])
-    normal = mix((p[g] - p[f]) * dn_[f] + n.astype(np.uint64)) if len(f) else np.zeros(0, np.uint64)
+    word = range_hashes(low, w.start, w.end, 3)
+    # a line's normal form: its normalised words in order
+    normal = range_hashes(word.view(np.uint8), 8 * f, 8 * g, 4)
     return row, exact, normal, n, end - start
 
 
-MEASURED = "doc_id long, rk long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
+MEASURED = "doc_id long, rk binary, text_key binary, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_hash array<long>, line_words array<long>"
 
 
 def _measure(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.RecordBatch]:
@@ -105,7 +101,7 @@ def _measure(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.Record
             per = np.searchsorted(row, np.arange(hi - lo + 1))
             offs32 = per.astype(np.int32)
             yield batch(
-                doc_id=b.column("doc_id").slice(lo, hi - lo), rk=b.column("rk").slice(lo, hi - lo), host=b.column(host).slice(lo, hi - lo),
+                doc_id=b.column("doc_id").slice(lo, hi - lo), rk=b.column("rk").slice(lo, hi - lo), text_key=b.column("text_key").slice(lo, hi - lo), host=b.column(host).slice(lo, hi - lo),
                 n_words=np.diff(w.first), word_chars=_sums(c[w.end] - c[w.start], w.first), n_symbols=_sums(_SYMBOL[w.data], w.offsets),
                 n_dup_lines=_sums(dup.astype(np.int64), per), n_repeat_words=_repeats(w, 3),
                 line_hash=pa.ListArray.from_arrays(offs32, pa.array(normal.view(np.int64))), line_words=pa.ListArray.from_arrays(offs32, pa.array(n.astype(np.int64))),
@@ -115,12 +111,12 @@ def _measure(batches: Iterator[pa.RecordBatch], host: str) -> Iterator[pa.Record
 def measure(docs: DataFrame, host: str = "source") -> DataFrame:
     """One row per document: the counts of the text rules and its normalised lines."""
     small_batches(docs.sparkSession)
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(host).cast("string").alias("host"), row_key().alias("rk"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col(host).cast("string").alias("host"), row_key().alias("rk"), text_key().alias("text_key"))
     return narrow.mapInArrow(lambda it: _measure(it, "host"), MEASURED)
 
 
 def frequent_lines(measured: DataFrame, line_share: float, line_min: int) -> DataFrame:
-    """host, line: those held by too many of a host's distinct texts."""
+    """host, line: those held by too many of a host's documents."""
     texts = measured.select(F.coalesce("host", F.lit("\x00")).alias("host"), "rk", "text_key", "line_hash")
     size = texts.groupBy("host", "text_key").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_texts"))
     held = texts.select("host", "text_key", F.explode(F.array_distinct("line_hash")).alias("line"))
@@ -129,11 +125,9 @@ def frequent_lines(measured: DataFrame, line_share: float, line_min: int) -> Dat
     return held.join(size, "host").filter(F.col("n") > line_share * F.col("host_texts")).select("host", "line")
 
 
-def _judged(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_min: int = 10, least_left: float = 0.3) -> tuple[DataFrame, DataFrame]:
+def _judged(docs: DataFrame, host: str = "source", line_share: float = 0.1, line_min: int = 10, least_left: float = 0.5, least_words: int = 50) -> tuple[DataFrame, DataFrame]:
     """What `judge` gives, and rk, host, lines: the hashes of the lines above the limit that a document holds."""
-    m = measure(docs, host)
-    # copies of one text share all their line hashes; the list itself names the text
-    m = written(m.withColumn("text_key", F.xxhash64("line_hash")), "quality")
+    m = written(measure(docs, host), "quality")
     bad = frequent_lines(m, line_share, line_min).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.hash("rk", "line"), F.lit(SALTS))
     mine = m.select("rk", F.coalesce("host", F.lit("\x00")).alias("host"), F.explode(F.arrays_zip("line_hash", "line_words")).alias("x"))
@@ -148,7 +142,7 @@ def _judged(docs: DataFrame, host: str = "source", line_share: float = 0.1, line
     out = m.join(lost, "rk", "left").withColumn("words_left", F.col("n_words") - F.coalesce("lost", F.lit(0)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= least_left * F.col("n_words"))).drop("line_hash", "line_words", "lost", "text_key", "host")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("words_left") >= F.greatest(F.lit(least_words), least_left * F.col("n_words")))).drop("line_hash", "line_words", "lost", "text_key", "host")
     return out, held.select("rk", "host", "lines")
 
 
@@ -180,14 +174,15 @@ def _without(texts: pa.Array, lines: list[list[int] | None]) -> list[str | None]
 def apply(docs: DataFrame, host: str = "source", **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns, their texts without the lines above the limit; n_chars follows the text."""
     schema = docs.schema
+    rk, hk, lk = (free_name(docs, x) for x in ("rk", "host_key", "lines"))
     verdict, held = _judged(docs, host=host, **options)
-    verdict = verdict.filter("kept").select(F.col("rk").alias("__rk")).distinct()
-    gone = held.select(F.col("rk").alias("__rk"), F.col("host").alias("__host"), F.col("lines").alias("__lines"))
+    verdict = verdict.filter("kept").select(F.col("rk").alias(rk)).distinct()
+    gone = held.select(F.col("rk").alias(rk), F.col("host").alias(hk), F.col("lines").alias(lk))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = {n: b.column(n) for n in schema.names}
-            lines = b.column("__lines").to_pylist()
+            lines = b.column(lk).to_pylist()
             if any(lines):
                 text = _without(columns["text"], lines)
                 columns["text"] = pa.array(text, columns["text"].type)
@@ -197,6 +192,6 @@ def apply(docs: DataFrame, host: str = "source", **options) -> DataFrame:
                     columns["n_chars"] = pa.array(new, columns["n_chars"].type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    mine = docs.withColumn("__rk", row_key()).join(verdict, "__rk", "left_semi")
-    mine = mine.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
-    return mine.join(gone, ["__rk", "__host"], "left").select(*schema.names, "__lines").mapInArrow(run, schema)
+    mine = docs.withColumn(rk, row_key()).join(verdict, rk, "left_semi")
+    mine = mine.withColumn(hk, F.coalesce(F.col(host).cast("string"), F.lit("\x00")))
+    return mine.join(gone, [rk, hk], "left").select(*schema.names, lk).mapInArrow(run, schema)
