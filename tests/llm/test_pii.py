@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -32,21 +33,47 @@ def test_patterns_like_plain_regexes():
     assert pii.find("a" * 300_000 + "@") == [] and pii.find("1" * 300_000) == []
 
 
+TERM = re.compile(r"[A-Za-z0-9\u0080-\U0010ffff]+")
+
+
+def brute_terms(rows, threshold=0.9):
+    """(start, end) of the disclosing terms of each text, by counting over all rows."""
+    texts = [t or "" for _, t in rows]
+    value = lambda k, raw: (k, raw.lower() if k == "email" else raw if k == "ip" else re.sub("[^0-9]", "", raw))
+    outside = [[(m[0].lower(), *m.span()) for m in TERM.finditer(t) if not any(s < m.end() and m.start() < e for _, s, e in brute(t))] for t in texts]
+    entities = [{value(k, t[s:e]) for k, s, e in brute(t)} for t in texts]
+    words = [{w.lower() for w in TERM.findall(t)} for t in texts]
+    total, out = len(rows), []
+    for here, mine in zip(outside, entities, strict=True):
+        bad = set()
+        for e in mine:
+            n_e = sum(e in x for x in entities)
+            for t in {t for t, _, _ in here} if n_e < total else ():
+                both = sum(e in x and t in {u for u, _, _ in o} for x, o in zip(entities, outside, strict=True))
+                n_t = sum(t in w for w in words)
+                if 1 - math.log(both / n_t) / math.log(n_e / total) >= threshold:
+                    bad.add(t)
+        out.append([(s, e) for t, s, e in here if t in bad])
+    return out
+
+
 def test_terms(spark):
     r = random.Random(2)
     filler = lambda: " ".join(r.choice("alpha beta gamma delta the of and wrote to".split()) for _ in range(40))
     rows = [(i, f"{filler()} Zorblax wrote to boss@corp.com {filler()}") for i in range(6)] + [(10 + i, filler()) for i in range(60)]
     rows += [(100 + i, "copy Quux me@solo.org " + "same text " * 5) for i in range(5)] + [(None, None), (200, ""), rows[0], rows[0]]
+    rows += [(300, "Wend of 10.0.0.7 and +49 30 1234567 the Quux"), (301, "Wend boss@corp.com the"), (302, "Hapax alone 10.0.0.7 10.0.0.8")]
     df = spark.createDataFrame([(d, t, 3, "x") for d, t in rows], "doc_id long, text string, n_chars long, tk string")
     got = {r.doc_id: r for r in pii.spans(df).collect()}
-    for d, t in rows:
-        s = t.find("Zorblax") if t else -1
+    for (d, t), terms in zip(rows, brute_terms(rows), strict=True):
         assert got[d].base == ",".join(f"{k}:{a}:{b}" for k, a, b in brute(t or ""))
-        assert got[d].spans == got[d].base + (f",term:{s}:{s + 7}" if s >= 0 else "")
+        assert got[d].spans == ",".join([*([got[d].base] if got[d].base else []), *(f"term:{s}:{e}" for s, e in terms)])
+        assert got[d].n_term == len(terms) and got[d].n_spans == len(terms) + len(brute(t or ""))
+    assert got[0].n_term and got[100].n_term and got[302].n_term and not got[10].n_term
     clean = pii.sanitise(df)
     assert clean.columns == df.columns
     texts = {r.doc_id: r.text for r in clean.collect()}
-    assert "Zorblax" not in texts[0] and "[EMAIL]" in texts[0] and "the" in texts[0] and texts[None] is None and texts[10] == dict(rows)[10] and "Quux" in texts[100]
+    assert "Zorblax" not in texts[0] and "[EMAIL]" in texts[0] and "the" in texts[0] and texts[None] is None and texts[10] == dict(rows)[10] and "copy" not in texts[100]
     assert clean.filter("n_chars <> length(text)").count() == 0
 
 

@@ -3,17 +3,18 @@
 Spans of four kinds are found by pattern: email, ip, card (Luhn) and phone. Each distinct value is a protected entity.
 The corpus tells how strongly a term reveals an entity: with n(t) and n(e) the rows that hold a term and an entity, and
 n(e, t) those with both, wherever in the text, the disclosed share of the entity's information is
-PMI(e, t) / IC(e) = 1 - log(n(e, t) / n(t)) / log(n(e) / N), which is 1 if the term stands nowhere else. A term of at
-least `least` such texts whose share is at least `threshold` is removed wherever it stands in a text with that entity. So in
-`sanitise`, patterned spans are generalised to their kind and disclosing terms are removed.
+PMI(e, t) / IC(e) = 1 - log(n(e, t) / n(t)) / log(n(e) / N), which is 1 if the term stands nowhere else. A term whose
+share is at least `threshold` is removed wherever it stands in a text with that entity, also if entity or term stand in
+one text alone. Texts without an entity lose nothing. So in `sanitise`, patterned spans are generalised to their kind and
+disclosing terms are removed.
 
-Copies of one text are one text towards `least`. Counts by term come from all texts and are summed in each batch before the shuffle;
-pairs are only made of the distinct words of a text and those of its entities that `least` texts hold, as no other can
-have a term of so many texts. The join of pairs and counts is by term, counts side already one row each; pairs are
-aggregated first.
+Counts by term come from all texts and are summed in each batch before the shuffle. Entities that stand in the same texts
+reveal alike and are judged as one; pairs are made of the distinct words of a text and those classes of its entities, once
+for all copies of a text. The joins are of pairs already aggregated.
 
 Null text: empty, no spans. Null doc_id: carried. Repeated rows: judged alike. Empty table: empty result. Very long
-texts: whole, each pattern in linear time. Further columns are carried by `sanitise` alone.
+texts: whole, each pattern in linear time. An entity that all rows hold has no information to disclose. Further columns
+are carried by `sanitise` alone. Texts are named by 128 bits, terms and entities by 64.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, small_batches, written
+from .common import batch, free_name, small_batches, text_key, written
 
 SALTS = 16
 KINDS = ("email", "ip", "card", "phone")
@@ -107,65 +108,42 @@ def _terms(text: str) -> Iterator[tuple[str, int, int]]:
             yield m[0].lower(), s, e
 
 
-SPANS = "doc_id long, tk long, n_email long, n_ip long, n_card long, n_phone long, base string"
+FOUND = "doc_id long, tk binary, n_email long, n_ip long, n_card long, n_phone long, base string, entities array<long>"
 
 
 def _texts(column: pa.Array) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def text_key():
-    """Names a text; spans depend on nothing else."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
-
-
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, tk, the number of spans of each kind, and the spans as kind:start:end, comma-joined."""
+    """doc_id, tk, the number of spans of each kind, the spans as kind:start:end, comma-joined, and the distinct entities."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [find(t) for t in _texts(b.column("text"))]
+            texts = _texts(b.column("text"))
+            found = [find(t) for t in texts]
             counts = {f"n_{k}": pa.array([sum(x[0] == k for x in f) for f in found], pa.int64()) for k in KINDS}
-            yield batch(doc_id=b.column("doc_id"), tk=b.column("tk"), **counts, base=pa.array([",".join(f"{k}:{s}:{e}" for k, s, e in f) for f in found], pa.string()))
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").mapInArrow(run, SPANS)
-
-
-def _entities(docs: DataFrame) -> DataFrame:
-    """tk, entity: the distinct entities of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(tk, x) for tk, text in zip(b.column("tk").to_pylist(), _texts(b.column("text")), strict=True) for x in {_value(k, text[s:e]) for k, s, e in find(text)}]
-            if rows:
-                tk, entity = zip(*rows, strict=True)
-                yield batch(tk=pa.array(tk, pa.int64()), entity=pa.array(entity, pa.int64()))
-
-    return docs.select(text_key().alias("tk"), "text").mapInArrow(run, "tk long, entity long")
+            entities = [sorted({_value(k, t[s:e]) for k, s, e in f}) for t, f in zip(texts, found, strict=True)]
+            yield batch(doc_id=b.column("doc_id"), tk=b.column("tk"), **counts, base=pa.array([",".join(f"{k}:{s}:{e}" for k, s, e in f) for f in found], pa.string()), entities=pa.array(entities, pa.list_(pa.int64())))
 
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("tk"), "text").mapInArrow(run, FOUND)
 
-def _holding(docs: DataFrame, listed: DataFrame, column: str) -> DataFrame:
-    """tk, text and column of the rows whose text is listed; salted, as copies of a text may be many."""
-    mine = listed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    texts = docs.select(text_key().alias("tk"), "text", F.pmod(F.hash("doc_id"), F.lit(SALTS)).alias("salt"))
-    return texts.join(mine, ["tk", "salt"]).select("tk", "text", column)
 
-
-def _pairs(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """tk, entity, term: each distinct term of a row with each of its listed entities."""
+def _pairs(held: DataFrame) -> DataFrame:
+    """tk, n, entity, term: each distinct term of a text outside its spans with each class of its entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for tk, text, entities in zip(b.column("tk").to_pylist(), _texts(b.column("text")), b.column("entities").to_pylist(), strict=True):
+            for tk, n, text, entities in zip(b.column("tk").to_pylist(), b.column("n").to_pylist(), _texts(b.column("text")), b.column("entities").to_pylist(), strict=True):
                 term = np.array([_hash(t) for t in {t for t, _, _ in _terms(text)}], np.int64)
                 for entity in entities if len(term) else ():
-                    yield batch(tk=np.full(len(term), tk), entity=np.full(len(term), entity), term=term)
+                    yield batch(tk=pa.array([tk] * len(term), pa.binary()), n=np.full(len(term), n), entity=np.full(len(term), entity), term=term)
 
-    return _holding(docs, listed, "entities").mapInArrow(run, "tk long, entity long, term long")
+    return held.mapInArrow(run, "tk binary, n long, entity long, term long")
 
 
-def _places(docs: DataFrame, listed: DataFrame) -> DataFrame:
+def _places(held: DataFrame) -> DataFrame:
     """tk, s, e: where the listed terms stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,9 +151,9 @@ def _places(docs: DataFrame, listed: DataFrame) -> DataFrame:
             for tk, text, terms in zip(b.column("tk").to_pylist(), _texts(b.column("text")), b.column("terms").to_pylist(), strict=True):
                 bad = set(terms)
                 at = np.array([(s, e) for t, s, e in _terms(text) if _hash(t) in bad], np.int32).reshape(-1, 2)
-                yield batch(tk=np.full(len(at), tk), s=at[:, 0], e=at[:, 1])
+                yield batch(tk=pa.array([tk] * len(at), pa.binary()), s=at[:, 0], e=at[:, 1])
 
-    return _holding(docs, listed, "terms").mapInArrow(run, "tk long, s int, e int")
+    return held.mapInArrow(run, "tk binary, s int, e int")
 
 
 def holders(docs: DataFrame) -> DataFrame:
@@ -185,33 +163,33 @@ def holders(docs: DataFrame) -> DataFrame:
         for b in batches:
             held: Counter = Counter()
             for t in _texts(b.column("text")):
-                held.update(set(_TERM.findall(t.lower())))
+                held.update({w.lower() for w in _TERM.findall(t)})
             if held:
                 yield batch(term=pa.array([_hash(w) for w in held], pa.int64()), n=pa.array(list(held.values()), pa.int64()))
 
     return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def disclosing(docs: DataFrame, threshold: float = 0.9, least: int = 3) -> DataFrame | None:
-    """tk, s, e: the places of disclosing terms, or None where there are none."""
-    small_batches(docs.sparkSession)
-    # a term stands for its entity only if it goes with it in several different texts
-    entities = written(_entities(docs).groupBy("entity", "tk").agg(F.count("*").alias("c")), "entities")
-    known = entities.groupBy("entity").agg(F.sum("c").alias("n_entity"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    known = written(known.select("entity", "n_entity"), "known")
-    if not known.head(1):
+def disclosing(docs: DataFrame, found: DataFrame, threshold: float = 0.9) -> DataFrame | None:
+    """tk, s, e: the places of disclosing terms, or None where there are no entities; found: what `base_spans` gives, written."""
+    texts = found.select("tk", F.explode("entities").alias("entity")).groupBy("tk", "entity").agg(F.count("*").alias("n"))
+    texts = written(texts, "entities")
+    if not texts.head(1):
         return None
-    listed = entities.join(known, "entity").groupBy("tk").agg(F.collect_list("entity").alias("entities"))
-    pairs = written(_pairs(docs, listed).groupBy("entity", "term", "tk").agg(F.count("*").alias("c")), "pairs")
-    joint = pairs.groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count("*").alias("texts")).filter(F.col("texts") >= least)
-    total = docs.count()
-    joint = joint.join(known, "entity").join(holders(docs), "term")
+    # entities of the same texts are one class, named by two sums over these texts without order
+    classes = texts.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts"), F.bit_xor(F.xxhash64("tk")).alias("x"), F.bit_xor(F.xxhash64("tk", F.lit(1))).alias("y"))
+    classes = classes.groupBy("n_entity", "texts", "x", "y").agg(F.min("entity").alias("entity")).select("entity", "n_entity")
+    classes = written(classes, "classes")
+    listed = texts.join(classes, "entity").groupBy("tk").agg(F.first("n").alias("n"), F.collect_list("entity").alias("entities"))
+    marked = docs.select(text_key().alias("tk"), "text").join(listed, "tk")
+    held = written(marked.groupBy("tk").agg(F.first("text").alias("text"), F.first("n").alias("n"), F.first("entities").alias("entities")), "held")
+    pairs = written(_pairs(held), "pairs")
+    total = found.count()
+    joint = pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both")).join(classes, "entity").join(holders(docs), "term")
     share = 1 - F.log(F.col("n_both") / F.col("n")) / F.log(F.col("n_entity") / F.lit(float(total)))
-    bad = joint.withColumn("share", share).filter((F.col("n_entity") < total) & (F.col("share") >= threshold)).select("entity", "term")
-    bad = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hit = pairs.withColumn("salt", F.pmod(F.hash("tk"), F.lit(SALTS))).join(bad, ["entity", "term", "salt"])
-    hit = hit.groupBy("tk").agg(F.collect_set("term").alias("terms"))
-    return written(_places(docs, hit).distinct(), "terms")
+    bad = joint.filter(F.col("n_entity") < total).withColumn("share", share).filter(F.col("share") >= threshold).select("entity", "term")
+    hit = pairs.join(bad, ["entity", "term"]).groupBy("tk").agg(F.collect_set("term").alias("terms"))
+    return written(_places(held.select("tk", "text").join(hit, "tk")), "terms")
 
 
 def _by_text(places: DataFrame) -> DataFrame:
@@ -221,25 +199,31 @@ def _by_text(places: DataFrame) -> DataFrame:
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, counts, base and all: both as kind:start:end; terms follow the patterned kinds."""
-    out = base_spans(docs)
-    places = disclosing(docs, **options)
+    """doc_id, counts, base and all: both as kind:start:end; terms follow the patterned kinds. n_term and n_spans count them."""
+    found = written(base_spans(docs), "found")
+    places = disclosing(docs, found, **options)
+    out = found.drop("entities")
     if places is None:
-        return out.withColumn("spans", F.col("base"))
-    terms = _by_text(places).select("tk", "salt", F.array_join(F.transform("places", lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))), ",").alias("terms"))
-    out = out.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(terms, ["tk", "salt"], "left").drop("salt")
+        out = out.withColumn("terms", F.lit(None).cast("string")).withColumn("n_term", F.lit(0).cast("long"))
+    else:
+        one = lambda x: F.concat(F.lit("term:"), x["s"].cast("string"), F.lit(":"), x["e"].cast("string"))
+        terms = _by_text(places).select("tk", "salt", F.array_join(F.transform("places", one), ",").alias("terms"), F.size("places").cast("long").alias("n_term"))
+        out = out.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(terms, ["tk", "salt"], "left").drop("salt")
+        out = out.withColumn("n_term", F.coalesce("n_term", F.lit(0)))
+    out = out.withColumn("n_spans", F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_term"))
     return out.withColumn("spans", F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), "terms"))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
     """docs with patterned spans generalised to [KIND] and disclosing terms removed; n_chars follows the text."""
-    places = disclosing(docs, **options)
+    places = disclosing(docs, written(base_spans(docs), "found"), **options)
     schema = docs.schema
+    tk, sk, pk = (free_name(docs, x) for x in ("tk", "salt", "places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out = b.column("text").to_pylist(), []
-            for text, terms in zip(texts, b.column("__places").to_pylist(), strict=True):
+            for text, terms in zip(texts, b.column(pk).to_pylist(), strict=True):
                 if text:
                     cuts = sorted([(s, e, f"[{k.upper()}]") for k, s, e in find(text)] + [(x["s"], x["e"], "") for x in terms or ()])
                     at, kept = 0, []
@@ -255,8 +239,8 @@ def sanitise(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     if places is None:
-        marked = docs.withColumn("__places", F.lit(None).cast("array<struct<s:int,e:int>>"))
+        marked = docs.withColumn(pk, F.lit(None).cast("array<struct<s:int,e:int>>"))
     else:
-        mine = _by_text(places).select(F.col("tk").alias("__tk"), F.col("salt").alias("__salt"), F.col("places").alias("__places"))
-        marked = docs.withColumn("__tk", text_key()).withColumn("__salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(mine, ["__tk", "__salt"], "left")
-    return marked.select(*schema.names, "__places").mapInArrow(run, schema)
+        mine = _by_text(places).select(F.col("tk").alias(tk), F.col("salt").alias(sk), F.col("places").alias(pk))
+        marked = docs.withColumn(tk, text_key()).withColumn(sk, F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(mine, [tk, sk], "left")
+    return marked.select(*schema.names, pk).mapInArrow(run, schema)
