@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from triagelake.llm import suffix
@@ -55,3 +56,29 @@ def test_multikey_order():
     r = np.random.default_rng(0)
     keys = [r.integers(0, 3, 500).astype(np.uint64) for _ in range(4)]
     assert np.array_equal(suffix.multikey_order(keys), np.lexsort(keys[::-1]))
+
+
+def test_suffixes_come_in_the_order_of_their_bytes():
+    texts = [(t or "").encode() for _, t in corpus(5, 64)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    s = suffix._Suffixes(data, np.cumsum([0] + [len(t) for t in texts]), 64, 24)
+    order = suffix.multikey_order(list(s.head.view(">u8").astype(np.uint64).T))
+    got = [texts[s.row[i]][s.pos[i] : s.pos[i] + 24] for i in order]
+    assert len(got) > 100 and got == sorted(got)
+
+
+def test_names_go_through():
+    raw = [bytes(range(16)), b"\xff" * 16, b"\0" * 16]
+    assert suffix._raw(suffix._names(pa.array(raw, pa.binary()))).to_pylist() == raw
+
+
+def test_long_patterned_strings(spark):
+    """Strings whose polynomial hashes modulo 2**64 are the same."""
+    a = "a"
+    for _ in range(11):
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    rows = [(1, "x " + a[:1500]), (2, b[:1500] + " y"), (3, a + b), (4, "qq" + b[:201])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix.remove(df).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got), key=str) == brute(rows, 200)

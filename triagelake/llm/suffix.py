@@ -2,34 +2,36 @@
 
 Every string of `width` bytes holds one or more anchors: positions whose `gram`-byte hash is least among those of some
 such string. Anchors depend on content alone, so two equal strings have theirs at equal places, and only suffixes that
-start at anchors need sorting. Splitters sampled from these suffixes range-partition them by their leading bytes;
-each bucket sorts its suffixes by multikey quicksort (`multikey_order`: eight bytes at a time, ties go on to the next
-key) and compares neighbours. Splitters go on to the text a suffix belongs to, so a group of equal suffixes of any size
-is parted too; suffixes with the leading bytes of a splitter, which may lie on both sides of a boundary, are compared
-across buckets in the next step.
+start at anchors need sorting. Splitters sampled from these suffixes range-partition them by their leading bytes; each
+bucket sorts its suffixes by multikey quicksort (`multikey_order`: eight bytes at a time, only ties go on to the next
+eight) to a depth of `gram` bytes and compares neighbours. Splitters go on to the text a suffix belongs to, so a group of
+equal suffixes of any size is parted too; suffixes with the leading bytes of a splitter, which may lie on both sides of a
+boundary, are compared across buckets in the next step.
 
-An anchor whose whole surroundings (what any of its strings could cover) occur twice covers all of them. Where only
-the leading bytes are shared, the surroundings are fetched and each string through the anchor is compared; groups of
-more than `hot` such anchors are compared string by string through an aggregation.
+An anchor whose whole surroundings (what any of its strings could cover) occur twice covers all of them. Where only the
+leading bytes are shared, the suffixes go on to greater depth: the surroundings are fetched, range-partitioned and sorted
+by over half a string around the anchor, and of neighbours that are equal so far each string through the anchor is
+compared. Groups of more than `hot` such anchors are compared string by string through an aggregation instead.
 
 Texts are UTF-8 bytes; null is empty; matches never cross documents, and overlapping ones in one document count.
 Repeated rows: each other's copies, wholly removed from `width` bytes on. Null doc_id: takes part. Empty table: empty
-result. Very long texts: a text is one value and handled as one. Further columns don't matter. Equality is by 128 bits
-of hash for whole surroundings and 128 for single strings.
+result. Very long texts: a text is one value and handled as one. Further columns don't matter. Order and groups are by
+the bytes themselves; whole surroundings and single strings are equal if two hashes of different bases and byte tables
+are, 128 bits in all. Rows are named by 128 bits.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Roller, U, batch, blocks, mix, partitions, ragged, row_key, signed, small_batches, text_buffers, written
+from .common import BLOCK, Roller, U, batch, blocks, long_binary, mix, partitions, ragged, row_key, signed, small_batches, text_buffers, written
 
 SALTS = 16
 
@@ -83,40 +85,57 @@ def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
 
 
 class _Suffixes:
-    """Columns of the anchors of a batch: leading bytes, gram hash, hash of the surroundings, text, place, extent."""
+    """Columns of the anchors of some texts: leading bytes, hashes of the surroundings, text, place, extent."""
 
-    def __init__(self, column: pa.Array, width: int, gram: int):
-        data, offs = text_buffers(column)
+    def __init__(self, data: np.ndarray, offs: np.ndarray, width: int, gram: int):
         parts = []
         for lo, hi in blocks(offs):
             o = offs[lo : hi + 1] - offs[lo]
             d = data[offs[lo] : offs[hi]]
-            at, h = anchors(d, o, width, gram)
+            at, _ = anchors(d, o, width, gram)
             if not len(at):
                 continue
             row = np.searchsorted(o, at, "right") - 1
             left = np.minimum(at - o[row], width - gram)
             right = np.minimum(o[row + 1] - at, width)
-            context = mix(Roller(d, 12).ranges(at - left, at + right) + left.astype(np.uint64))
-            lead = np.ascontiguousarray(d[at[:, None] + np.arange(8)]).view(">u8").ravel().astype(np.uint64)
-            parts.append((lead, h, context, row + lo, at - o[row], left, right))
-        empty = [np.zeros(0, t) for t in (np.uint64,) * 3 + (np.int64,) * 4]
-        self.lead, self.gram, self.context, self.row, self.pos, self.left, self.right = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+            context = [mix(Roller(d, seed).ranges(at - left, at + right) + left.astype(np.uint64)) for seed in (12, 15)]
+            head = np.zeros((len(at), -(-gram // 8) * 8), np.uint8)
+            head[:, :gram] = np.lib.stride_tricks.sliding_window_view(d, gram)[at]
+            parts.append((head, *context, row + lo, at - o[row], left, right))
+        empty = [np.zeros((0, -(-gram // 8) * 8), np.uint8), *(np.zeros(0, t) for t in (np.uint64,) * 2 + (np.int64,) * 4)]
+        self.head, self.one, self.two, self.row, self.pos, self.left, self.right = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else empty
+
+
+def _chunks(column: pa.Array, limit: int = 8 * BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of ranges of rows with some megabytes each."""
+    data, offs = text_buffers(column)
+    for lo, hi in blocks(offs, limit):
+        yield lo, data, offs[lo : hi + 1]
+
+
+def _names(column: pa.Array) -> np.ndarray:
+    """Row names as two numbers each."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def _raw(names: np.ndarray) -> pa.Array:
+    return long_binary(names.astype(">u8").ravel(), np.full(len(names), 2, np.int64))
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("rk"), "text")
 
 
-def _keys(*columns: np.ndarray) -> np.ndarray:
-    """The columns of each row as one string of bytes that sorts as they do."""
-    return np.ascontiguousarray(np.stack([c.astype(">u8") for c in columns], axis=1)).view(f"S{8 * len(columns)}").ravel()
+def _keys(head: np.ndarray, *columns: np.ndarray) -> np.ndarray:
+    """Leading bytes and columns of each row as one string of bytes that sorts as they do."""
+    wide = np.concatenate([head, *(c.astype(">u8").reshape(len(head), -1).view(np.uint8) for c in columns)], axis=1)
+    return np.ascontiguousarray(wide).view(f"S{wide.shape[1]}").ravel()
 
 
 def _splitters(docs: DataFrame, buckets: int, width: int, gram: int) -> np.ndarray:
     """Keys of buckets - 1 suffixes of a sample whose size depends on the buckets alone.
 
-    A key is leading bytes, gram hash, hash of the surroundings and text, so even copies of one suffix can be parted.
+    A key is leading bytes, hashes of the surroundings and text, so even copies of one suffix can be parted.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     want = 64 * buckets
@@ -125,79 +144,89 @@ def _splitters(docs: DataFrame, buckets: int, width: int, gram: int) -> np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = _Suffixes(b.column("text"), width, gram)
-            rk = b.column("rk").to_numpy().astype(np.int64).view(np.uint64)
-            pick = mix(rk[s.row] + s.pos.astype(np.uint64)) % U(by_place) == 0
-            yield batch(lead=signed(s.lead[pick]), gram=signed(s.gram[pick]), context=signed(s.context[pick]), rk=signed(rk[s.row][pick]))
-
-    some = _narrow(docs).filter(F.pmod("rk", F.lit(by_text)) == 0).mapInArrow(run, "lead long, gram long, context long, rk long")
-    rows = some.orderBy(F.xxhash64("lead", "gram", "rk")).limit(4 * want).toPandas()
-    keys = np.sort(_keys(*(rows[c].to_numpy(np.int64).view(np.uint64) for c in ("lead", "gram", "context", "rk"))))
+            rk = _names(b.column("rk"))
+            for lo, data, offs in _chunks(b.column("text")):
+                s = _Suffixes(data, offs, width, gram)
+                name = rk[s.row + lo]
+                pick = mix(name[:, 0] + s.pos.astype(np.uint64)) % U(by_place) == 0
+                keys = _keys(s.head[pick], s.one[pick], s.two[pick], name[pick])
+                yield batch(key=long_binary(keys.view(np.uint8), np.full(len(keys), keys.itemsize, np.int64)))
+
+    some = _narrow(docs).filter(F.pmod(F.xxhash64("rk"), F.lit(by_text)) == 0).mapInArrow(run, "key binary")
+    rows = some.orderBy(F.xxhash64("key"), "key").limit(4 * want).collect()
+    wide = -(-gram // 8) * 8 + 32
+    keys = np.sort(np.frombuffer(b"".join(bytes(r.key) for r in rows), f"S{wide}"))
     return np.unique(keys[np.linspace(0, len(keys) - 1, buckets + 1).astype(int)[1:-1]]) if len(keys) else keys
 
 
-def _halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Leading bytes and gram hashes of splitters."""
-    raw = np.frombuffer(keys.tobytes(), ">u8").reshape(-1, 4) if len(keys) else np.zeros((0, 4), np.uint64)
-    return raw[:, 0].astype(np.uint64), raw[:, 1].astype(np.uint64)
-
-
-FOUND = "kind int, rk long, pos int, l int, r int, gram long"
+FOUND = "kind int, rk binary, pos int, l int, r int"
 FULL, ASK = 0, 1
 
 
 def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(cuts)
+    wide = -(-gram // 8) * 8
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            s = _Suffixes(b.column("text"), width, gram)
-            rk = b.column("rk").to_numpy().astype(np.int64).view(np.uint64)
-            if not len(s.row):
-                continue
-            bucket = np.searchsorted(shared.value, _keys(s.lead, s.gram, s.context, rk[s.row]), "left")
-            order = np.lexsort((s.lead, bucket))
-            which, first = np.unique(bucket[order], return_index=True)
-            blobs = []
-            for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
-                i = order[lo:hi]
-                texts, at = np.unique(s.row[i], return_inverse=True)
-                blobs.append(np.array([len(texts), len(i)], "<u4").tobytes() + rk[texts].tobytes() + s.lead[i].tobytes() + s.gram[i].tobytes() + s.context[i].tobytes() + s.pos[i].astype("<u4").tobytes() + at.astype("<u4").tobytes() + s.left[i].astype("<u2").tobytes() + s.right[i].astype("<u2").tobytes())
-            if blobs:
+            names = _names(b.column("rk"))
+            for base, data, offs in _chunks(b.column("text")):
+                s = _Suffixes(data, offs, width, gram)
+                if not len(s.row):
+                    continue
+                rk = names[base:]
+                bucket = np.searchsorted(shared.value, _keys(s.head, s.one, s.two, rk[s.row]), "left")
+                order = np.lexsort((s.head[:, 0], bucket))
+                which, first = np.unique(bucket[order], return_index=True)
+                blobs = []
+                for lo, hi in zip(first, np.append(first[1:], len(order)), strict=True):
+                    i = order[lo:hi]
+                    texts, at = np.unique(s.row[i], return_inverse=True)
+                    blobs.append(z.compress(b"".join(x.tobytes() for x in (np.array([len(texts), len(i)], "<u4"), rk[texts], s.head[i], s.one[i], s.two[i], s.pos[i].astype("<u4"), at.astype("<u4"), s.left[i].astype("<u2"), s.right[i].astype("<u2")))))
                 yield batch(bucket=pa.array(which, pa.int32()), blob=pa.array(blobs, pa.binary()))
 
     def unpack(blob: bytes):
+        blob = zstandard.ZstdDecompressor().decompress(blob)
         d, m = (int(x) for x in np.frombuffer(blob, "<u4", 2))
-        at, out = 8 + 8 * d, []
-        for kind in (np.uint64, np.uint64, np.uint64, "<u4", "<u4", "<u2", "<u2"):
-            out.append(np.frombuffer(blob, kind, m, at))
-            at += m * np.dtype(kind).itemsize
-        out[4] = np.frombuffer(blob, np.uint64, d, 8)[out[4]]
+        at, out = 8 + 16 * d, []
+        for kind, n in ((np.uint8, wide), (np.uint64, 1), (np.uint64, 1), ("<u4", 1), ("<u4", 1), ("<u2", 1), ("<u2", 1)):
+            out.append(np.frombuffer(blob, kind, m * n, at))
+            at += m * n * np.dtype(kind).itemsize
+        out[0] = out[0].reshape(m, wide)
+        out[4] = np.frombuffer(blob, np.uint64, 2 * d, 8).reshape(d, 2)[out[4]]
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [unpack(x) for b in batches for x in b.column("blob").to_pylist()]
         if not parts:
             return
-        lead, h, context, pos, rk, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
+        head, one, two, pos, rk, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        order = multikey_order([lead, h, context, rk, pos])
-        lead, h, context, rk, pos, left, right = (x[order] for x in (lead, h, context, rk, pos, left, right))
-        group = (lead[1:] == lead[:-1]) & (h[1:] == h[:-1])
-        equal = group & (context[1:] == context[:-1])
+        words = head.view(">u8").astype(np.uint64).T
+        order = multikey_order([*words, one, two, rk[:, 0], rk[:, 1], pos])
+        # neighbours that are equal to the depth of the leading bytes
+        group = np.ones(max(0, len(order) - 1), bool)
+        for w in words:
+            w = w[order]
+            group &= w[1:] == w[:-1]
+        del words
+        one, two, rk, pos, left, right = (x[order] for x in (one, two, rk, pos, left, right))
+        equal = group & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
         before, after = np.append(False, equal), np.append(equal, False)
         full = before | after
         # the first of each run of equal surroundings stands for it where its group holds others, or may do so in the
         # next bucket, having the leading bytes of a splitter: what is asked for is compared wherever it lies
         start = np.flatnonzero(~np.append(False, group))
         runs = np.add.reduceat((~before).astype(np.int64), start)
-        edge = np.isin(_keys(lead[start], h[start]), _keys(*_halves(shared.value)))
-        many = np.repeat((runs > 1) | edge, np.diff(np.append(start, len(h))))
+        splitters = np.frombuffer(shared.value.tobytes(), np.uint8).reshape(-1, wide + 32)[:, :wide]
+        edge = np.isin(_keys(head[order[start]]), _keys(splitters))
+        many = np.repeat((runs > 1) | edge, np.diff(np.append(start, len(order))))
         ask = ~before & many
         for kind, pick in ((FULL, np.flatnonzero(full)), (ASK, np.flatnonzero(ask))):
             for lo in range(0, len(pick), 50_000):
                 i = pick[lo : lo + 50_000]
-                yield batch(kind=np.full(len(i), kind, np.int32), rk=signed(rk[i]), pos=pos[i].astype(np.int32), l=left[i].astype(np.int32), r=right[i].astype(np.int32), gram=signed(h[i]))
+                yield batch(kind=np.full(len(i), kind, np.int32), rk=_raw(rk[i]), pos=pos[i].astype(np.int32), l=left[i].astype(np.int32), r=right[i].astype(np.int32))
 
     packed = _narrow(docs).mapInArrow(pack, "bucket int, blob binary")
     return packed.repartition(partitions(docs.sparkSession), "bucket").mapInArrow(compare, FOUND)
@@ -211,14 +240,17 @@ def _zipped(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield batch(doc_id=b.column("doc_id"), rk=b.column("rk"), z=pa.array([z.compress((t or "").encode()) for t in b.column("text").to_pylist()], pa.binary()))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text").mapInArrow(run, "doc_id long, rk long, z binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text").mapInArrow(run, "doc_id long, rk binary, z binary")
 
 
-CONTEXT = "key long, rk long, pos int, half int, left int, body binary"
+CONTEXT = "rk binary, pos int, half int, left int, body binary"
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, width: int, gram: int) -> DataFrame:
-    """The surroundings of the anchors asked for: one row for the strings that reach far right, one for the others."""
+    """The surroundings of the anchors asked for: one row for the strings that reach far right, one for the others.
+
+    lead: what all strings of a row share, over half a string around the anchor; key: its hash.
+    """
     split = (width - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,15 +263,17 @@ def _contexts(docs: DataFrame, asked: DataFrame, width: int, gram: int) -> DataF
                     p, left, right = a["pos"], a["l"], a["r"]
                     if right >= width - split:  # strings that begin at most `split` bytes before the anchor
                         n = min(left, split)
-                        out.append((hashlib.blake2b(text[p : p + width - split], digest_size=8).digest(), rk, p, 0, n, text[p - n : p + right]))
+                        out.append((rk, p, 0, n, text[p - n : p + right]))
                     if left > split:
-                        out.append((hashlib.blake2b(text[p - split - 1 : p + gram], digest_size=8).digest(), rk, p, 1, left, text[p - left : p + min(right, width - split - 1)]))
+                        out.append((rk, p, 1, left, text[p - left : p + min(right, width - split - 1)]))
             if out:
-                key, rk, pos, half, left, body = zip(*out, strict=True)
-                yield batch(key=np.frombuffer(b"".join(key), np.int64), rk=pa.array(rk, pa.int64()), pos=pa.array(pos, pa.int32()), half=pa.array(half, pa.int32()), left=pa.array(left, pa.int32()), body=pa.array(body, pa.binary()))
+                rk, pos, half, left, body = zip(*out, strict=True)
+                yield batch(rk=pa.array(rk, pa.binary()), pos=pa.array(pos, pa.int32()), half=pa.array(half, pa.int32()), left=pa.array(left, pa.int32()), body=pa.array(body, pa.binary()))
 
     asks = asked.groupBy("rk").agg(F.collect_list(F.struct("pos", "l", "r")).alias("asks"))
-    return _zipped(docs).select("rk", "z").join(asks, "rk").mapInArrow(run, CONTEXT)
+    found = _zipped(docs).select("rk", "z").join(asks, "rk").mapInArrow(run, CONTEXT)
+    lead = F.expr(f"CASE WHEN half = 0 THEN substring(body, left + 1, {width - split}) ELSE substring(body, left - {split}, {split + 1 + gram}) END")
+    return found.withColumn("lead", lead).withColumn("key", F.xxhash64("half", "lead"))
 
 
 def _strings(half: np.ndarray, left: np.ndarray, bodies: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -259,20 +293,41 @@ def _strings(half: np.ndarray, left: np.ndarray, bodies: list[bytes], width: int
     return row, back, mix(one + place), two
 
 
-SPANS = "rk long, s int, e int"
+SPANS = "rk binary, s int, e int"
+
+
+def _whole_leads(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
+    """Tables of some thousand rows that hold all rows of their leads, from batches that are ordered by half and lead."""
+    rest, waiting = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        rest = t if rest is None else pa.concat_tables([rest, t])
+        waiting += b.num_rows
+        if waiting < least:
+            continue
+        waiting = 0
+        leads, halves = rest.column("lead"), rest.column("half").to_numpy()
+        n = rest.num_rows
+        last = pc.equal(leads, leads[n - 1]).to_numpy() & (halves == halves[-1])
+        cut = int(np.argmax(last))
+        if cut:
+            yield rest.slice(0, cut).combine_chunks()
+            rest = rest.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
 
 
 def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     """rk, s, e: what the strings that occur twice cover."""
 
-    def spans(rk, pos, row, back, twice):
-        if not twice.any():
-            return None
+    def spans(rk: pa.Array, pos, row, back, twice):
         row, back = row[twice], back[twice]
         first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
         r = row[first]
         far, near = np.maximum.reduceat(back, first), np.minimum.reduceat(back, first)
-        return batch(rk=rk[r], s=(pos[r] - far).astype(np.int32), e=(pos[r] - near + width).astype(np.int32))
+        return batch(rk=rk.take(pa.array(r)), s=(pos[r] - far).astype(np.int32), e=(pos[r] - near + width).astype(np.int32))
 
     def repeated(one, two):
         order = np.lexsort((two, one))
@@ -284,45 +339,38 @@ def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
         return twice
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=pa.schema([("key", pa.int64()), ("rk", pa.int64()), ("pos", pa.int32()), ("half", pa.int32()), ("left", pa.int32()), ("body", pa.binary())]))
-        if not t.num_rows:
-            return
-        key, rk, pos, half, left = (t.column(c).to_numpy() for c in ("key", "rk", "pos", "half", "left"))
-        order = np.lexsort((pos, rk, half, key))
-        k, r, p, h = key[order], rk[order], pos[order], half[order]
-        new = np.append(True, (k[1:] != k[:-1]) | (r[1:] != r[:-1]) | (p[1:] != p[:-1]) | (h[1:] != h[:-1]))
-        order = order[new]  # rows of documents that repeat
-        k = key[order]
-        same = k[1:] == k[:-1]
-        order = order[np.append(False, same) | np.append(same, False)]
-        k = key[order]
-        first = np.append(np.flatnonzero(np.append(True, k[1:] != k[:-1])), len(k)) if len(k) else np.zeros(1, np.int64)
-        lo = 0
-        while lo < len(first) - 1:  # whole groups, some thousand rows at a time
-            hi = max(lo + 1, int(np.searchsorted(first, first[lo] + 4096, "right")) - 1)
-            i = order[first[lo] : first[hi]]
-            row, back, one, two = _strings(half[i], left[i].astype(np.int64), t.column("body").take(pa.array(i)).to_pylist(), width, gram)
-            got = spans(rk[i], pos[i].astype(np.int64), row, back, repeated(one, two))
-            if got is not None:
-                yield got
-            lo = hi
+        for t in _whole_leads(batches):
+            lead, half, rk, pos = (t.column(c).combine_chunks() for c in ("lead", "half", "rk", "pos"))
+            h, p = half.to_numpy(), pos.to_numpy()
+            same = pc.equal(lead[1:], lead[:-1]).to_numpy(zero_copy_only=False) & (h[1:] == h[:-1])
+            # rows of documents that repeat come twice
+            again = np.append(False, same & pc.equal(rk[1:], rk[:-1]).to_numpy(zero_copy_only=False) & (p[1:] == p[:-1]))
+            group = np.cumsum(np.append(True, ~same))
+            keep = np.flatnonzero(~again)
+            group = group[keep]
+            keep = keep[np.bincount(group)[group] > 1]
+            if not len(keep):
+                continue
+            at = pa.array(keep)
+            row, back, one, two = _strings(h[keep], t.column("left").to_numpy()[keep].astype(np.int64), t.column("body").take(at).to_pylist(), width, gram)
+            twice = repeated(one, two)
+            if twice.any():
+                yield spans(rk.take(at), p[keep].astype(np.int64), row, back, twice)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 c = b.slice(at, 2000)
                 row, back, one, two = _strings(c.column("half").to_numpy(), c.column("left").to_numpy().astype(np.int64), c.column("body").to_pylist(), width, gram)
-                yield batch(one=signed(one), two=signed(two), rk=c.column("rk").to_numpy()[row], pos=c.column("pos").to_numpy()[row], back=back.astype(np.int32))
+                yield batch(one=signed(one), two=signed(two), rk=c.column("rk").take(pa.array(row)), pos=c.column("pos").to_numpy()[row], back=back.astype(np.int32))
 
-    size = contexts.groupBy("key").agg(F.count("*").alias("c"))
-    total = contexts.count()
-    # at most 100,000 keys can be held by more rows than this
-    hot_keys = size.filter(F.col("c") > max(hot, total // 100_000)).select("key")
-    cold = contexts.join(F.broadcast(hot_keys), "key", "left_anti").repartition(partitions(contexts.sparkSession), "key")
+    hot_keys = written(contexts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key"), "hot")
+    cold = contexts.join(hot_keys, "key", "left_anti").select("half", "lead", "rk", "pos", "left", "body")
+    cold = cold.repartitionByRange(partitions(contexts.sparkSession), "half", "lead").sortWithinPartitions("half", "lead", "rk", "pos")
     out = cold.mapInArrow(run, SPANS)
-    large = contexts.join(F.broadcast(hot_keys), "key", "left_semi")
     if hot_keys.head(1):
-        strings = written(large.mapInArrow(explode, "one long, two long, rk long, pos int, back int"), "strings").dropDuplicates(["one", "two", "rk", "pos", "back"])
+        large = contexts.join(hot_keys, "key", "left_semi").select("half", "left", "body", "rk", "pos")
+        strings = written(large.mapInArrow(explode, "one long, two long, rk binary, pos int, back int"), "strings").dropDuplicates(["one", "two", "rk", "pos", "back"])
         twice = strings.groupBy("one", "two").agg(F.count("*").alias("c")).filter("c > 1").select("one", "two", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         hit = strings.withColumn("salt", F.pmod(F.hash("rk", "pos"), F.lit(SALTS))).join(twice, ["one", "two", "salt"])
         more = hit.groupBy("rk", "pos").agg(F.max("back").alias("far"), F.min("back").alias("near"))
@@ -330,7 +378,7 @@ def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     return out
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 50_000) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 4096) -> DataFrame:
     """rk, spans: the byte ranges of each document that repeated strings cover; overlaps are not yet joined."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -344,7 +392,7 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 50_000
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>, kept binary"
 
 
-def remove(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 50_000) -> DataFrame:
+def remove(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (maximal runs, joined) and the kept bytes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
