@@ -87,3 +87,35 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 105), (105, 101), (7, 7), (200, 199)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100, 105: 100, 199: 199, 200: 199}
+
+
+def thue_morse(n):
+    a = "a"
+    for _ in range(n):
+        a += a.translate({97: 98, 98: 97})
+    return a, a.translate({97: 98, 98: 97})
+
+
+def test_words_with_equal_polynomial_hashes_differ(spark):
+    a, b = thue_morse(11)
+    x, y = (" ".join([w, "p", "q", "r", "s"]) for w in (a, b))
+    p, q = (" ".join({"a": "no", "b": "yes"}[c] for c in w) for w in (a, b))
+    rows = [(1, x), (2, y), (3, x + " t"), (4, p), (5, q)]
+    got = jaccard.link(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows)
+
+
+def test_large_group_of_near_copies(spark):
+    """Blocks of a list, and pairs that stand in many lists."""
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(250):
+        w = list(base)
+        for _ in range(r.randrange(2, 8)):
+            w[r.randrange(len(w))] = r.choice(["x", "y", f"z{r.randrange(40)}"])
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for options in ({"rounds": 0, "block": 20}, {"rounds": 1, "block": 16, "frequent": 8}, {"frequent": 8, "combine": 40}):
+        got = jaccard.link(df, **options)
+        assert sorted(((x.doc_id, x.n_shingles, x.component_id) for x in got.collect()), key=str) == brute(rows)
