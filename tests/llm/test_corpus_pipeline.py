@@ -60,3 +60,14 @@ def test_stages(spark, corpus):
 
 def test_run(spark, corpus):
     assert p.run(spark, corpus).count() > 0
+
+
+def test_stages_on_empty_tables(spark, corpus, tmp_path):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{corpus}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    empty = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, empty, str(tmp_path))
+        assert out.columns == docs.columns and out.count() == 0, name
+    assert p.run(spark, str(tmp_path)).count() == 0

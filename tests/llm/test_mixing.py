@@ -38,6 +38,9 @@ def test_rates_by_domain(spark):
     by = {k: np.mean([r.rate for r in out if r.tokens and int(np.argmax(r.p)) == k]) for k in range(3)}
     assert by[0] < 0.5 and by[2] < 0.5 and 0.8 < by[1] < 1.3
     assert all(r.rate == 1 for r in out if not r.tokens)
+    reached = np.sum([np.array(r.p) * r.rate * r.tokens for r in out], axis=0)
+    assert np.allclose(reached, out[0].reached) and out[0].met == bool(np.abs(reached - out[0].target).max() <= 1e-3 * sum(out[0].target))
+    assert not mixing.rate(docs, labels, [0.98, 0.01, 0.01], most=1.0, slack=3.0).first().met
     kept = mixing.select(docs, labels, [0.05, 0.9, 0.05], most=1.0, slack=1.05)
     assert kept.columns == docs.columns
     texts = [r.text for r in kept.collect()]
@@ -49,3 +52,10 @@ def test_empty_tables(spark):
     assert mixing.rate(docs.limit(0), labels, [1, 1, 1]).count() == 0
     assert all(abs(r.rate - 1) < 1e-6 for r in mixing.rate(docs, labels.limit(0), [1, 1, 1]).collect())
     assert isinstance(mixing.fit(docs, labels.limit(0)), Model)
+
+
+def test_relative_targets_are_met(spark):
+    docs, labels = tables(spark)
+    out = mixing.rate(docs, labels, [0.9, 0.98, 0.4], most=1.0, relative=True).collect()
+    plain = np.sum([np.array(r.p) * r.tokens for r in out], axis=0)
+    assert np.allclose(out[0].target, plain * [0.9, 0.98, 0.4]) and out[0].met and all(0 <= r.rate <= 1 for r in out)

@@ -64,7 +64,7 @@ def op7_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_term", "n_spans")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = mixing.rate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), [0.05, 0.9, 0.05], whole=1)
     shares = [F.col("p")[i].alias(f"p_{name}") for i, name in enumerate(mixing.DOMAINS)]
-    return rated.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate")
+    return rated.select("doc_id", F.col("tokens").alias("n_tokens"), *shares, "rate", "target", "reached", "met")
 
 
 QUERIES = {f.__name__: f for f in (op1_ann, op2_warc, op3_suffix, op4_jaccard, op5_packing, op6_quality, op7_orc, op8_pii, op9_toxicity, op10_mixing)}

@@ -4,16 +4,24 @@ A word is the bag of its character n-grams (with marks at both ends) and itself,
 the mean of their embeddings. A text is the mean of its words' vectors, and a linear softmax reads that mean. So a
 misspelling that training never saw shares most of its vectors with the word it stands for.
 
+Training takes place in one task of an executor, on a sample whose rows and bytes are bounded, and sends the driver the
+scores alone; a lost executor has the task run again, with the same result.
+
 For scoring, embeddings and softmax fold into one row of class scores per bucket; the class scores of words that a
 worker has met are cached up to a bound.
 """
 
 from __future__ import annotations
 
+import pickle
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from .common import Roller, U, Words, blocks, mix, text_buffers
+from .common import Roller, U, Words, batch, blocks, mix, ragged, range_hashes, small_batches, text_buffers
 
 #: Everything in ASCII but letters and digits parts words.
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -35,13 +43,12 @@ def grams(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[i
     size = n + 2
     at = np.cumsum(size) - size
     buf = np.full(int(size.sum()), 1, np.uint8)
-    from .common import ragged
-
     buf[ragged(at + 1, n)] = data[ragged(start, n)]
     owner = np.repeat(np.arange(len(n)), size)
-    rows, values = [np.arange(len(n))], [Roller(buf, 7).ranges(at, at + size)]
+    rows, values = [np.arange(len(n))], [range_hashes(buf, at, at + size, 7)]
+    roller = Roller(buf, 7)
     for k in lengths:
-        h = Roller(buf, 7).grams(k)
+        h = roller.grams(k)
         good = owner[: len(h)] == owner[k - 1 :] if len(h) else np.zeros(0, bool)
         rows.append(owner[: len(h)][good])
         values.append(h[good])
@@ -96,7 +103,7 @@ class Model:
         return p / p.sum(axis=1, keepdims=True), counts
 
 
-def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 4, buckets: int = 1 << 18, lengths: tuple[int, ...] = (3, 4, 5), epochs: int = 100, rate: float = 0.1, scale: float = 100.0, decay: float = 1e-5, seen: int = 3, seed: int = 7) -> Model:
+def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 4, buckets: int = 1 << 18, lengths: tuple[int, ...] = (3, 4, 5), epochs: int = 100, rate: float = 0.1, scale: float = 100.0, decay: float = 1e-4, seen: int = 3, seed: int = 7) -> Model:
     """Full-batch Adam over a bounded sample; the same sample in the same order gives the same model."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, np.int64)
@@ -169,3 +176,28 @@ def train(texts: list[str], labels: np.ndarray, classes: int, dim: int = 4, buck
     scores = np.zeros((buckets, classes), np.float32)
     scores[used] = E @ W
     return Model(scores, b.astype(float), scale, lengths)
+
+
+def trained(sample: DataFrame, classes: int, most_bytes: int = 32 << 20, both: bool = False, **options) -> Model:
+    """A model of the rows (label, text) of a bounded sample: in its order, texts are taken whole while they fit in most_bytes.
+
+    With `both`, a sample that lacks a class teaches nothing.
+    """
+    small_batches(sample.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels, size = [], [], 0
+        for b in batches:
+            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
+                n = len(text.encode())
+                if size + n <= most_bytes:
+                    size += n
+                    texts.append(text)
+                    labels.append(label)
+        if both and len(set(labels)) < classes:
+            texts, labels = [], []
+        model = train(texts, np.array(labels, np.int64), classes, **options)
+        yield batch(model=pa.array([zlib.compress(pickle.dumps(model), 1)], pa.binary()))
+
+    rows = sample.coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(zlib.decompress(rows[0].model)) if rows else train([], np.zeros(0, np.int64), classes, **options)

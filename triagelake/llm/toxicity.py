@@ -12,6 +12,7 @@ Null or empty text: scored from the bias alone. Null doc_id: scored, not held ou
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,33 +20,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, small_batches
-from .subword import Model, train
+from .subword import Model, trained
 
 
 def remainder(doc_id: Column, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_label: tuple[int, ...], keep: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Texts and labels on the driver: at most per_label[k] of class k, by hashed doc_id."""
-    marked = labels.select(F.col("doc_id").alias("__id"), label.cast("int").alias("__label")).filter(F.col("__label").between(0, len(per_label) - 1))
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, per_label: tuple[int, ...], keep: Column | None = None, longest: int = 1 << 16) -> DataFrame:
+    """label, text of at most per_label[k] rows of class k, by hashed doc_id, in one order; texts over `longest` bytes are left out."""
+    marked = labels.select("doc_id", label.cast("int").alias("label")).filter(F.col("label").between(0, len(per_label) - 1))
     if keep is not None:
-        marked = marked.withColumnRenamed("__id", "doc_id").filter(keep).withColumnRenamed("doc_id", "__id")
-    texts, out = [], []
-    for k, most in enumerate(per_label):
-        # at most `most` ids of each class, so this side is small whatever the input
-        ids = marked.filter(F.col("__label") == k).select("__id").distinct().orderBy(F.xxhash64("__id"), "__id").limit(most)
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(most).collect()
-        texts += [r.text or "" for r in rows]
-        out += [k] * len(rows)
-    return texts, np.array(out, np.int64)
+        marked = marked.filter(keep)
+    some = [marked.filter(F.col("label") == k).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for k, most in enumerate(per_label)]
+    # at most sum(per_label) ids, so this side is small whatever the input
+    ids = reduce(DataFrame.union, some).select(F.col("doc_id").alias("__id"), "label")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= longest)
+    rows = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"))
+    return rows.orderBy("label", F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sum(per_label)).select("label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, per_label: tuple[int, int] = (2500, 1000), **options) -> Model:
-    texts, y = labelled_sample(docs, labels, F.col("toxic"), per_label, remainder(F.col("doc_id"), folds) != fold)
-    if len(set(y.tolist())) < 2:
-        texts, y = [], y[:0]
-    return train(texts, y, 2, **options)
+    """Trained in one task, on a sample of bounded rows and bytes (see `subword.trained`)."""
+    sample = labelled_sample(docs, labels, F.col("toxic"), per_label, remainder(F.col("doc_id"), folds) != fold)
+    return trained(sample, 2, both=True, **options)
 
 
 def score(docs: DataFrame, model: Model, folds: int = 5, fold: int = 0) -> DataFrame:
