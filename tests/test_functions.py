@@ -1,8 +1,10 @@
+import hashlib
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from triagelake.functions import text as X
-from triagelake.operators import groups, tier
+from triagelake.operators import groups, pipeline, tier
 
 
 def values(spark, f, texts, kind="string"):
@@ -20,8 +22,10 @@ def test_scalars(spark):
     assert values(spark, X.as_list, ["a, b;;c", "", None]) == [["a", "b", "c"], [], []]
     assert values(spark, lambda c: X.unique_text(X.as_list(c)), ["A, a, b, B, A"]) == [["A", "b"]]
     assert values(spark, X.identifiers, ["see cve-2024-1234, CWE-79 and GHSA-aaaa-bbbb-cccc", None]) == [["CVE-2024-1234", "CWE-79", "GHSA-AAAA-BBBB-CCCC"], None]
-    assert values(spark, X.severity, ["Crit", "4", "7.5", "0", "x"]) == ["critical", "critical", "high", "none", None]
-    assert values(spark, lambda c: X.severity(c, native_ordinal=True), ["5", "3", "9"]) == ["critical", "high", None]
+    assert values(spark, X.severity, ["Crit", "4", "7.5", "0", "x"]) == ["critical", "critical", "high", "none", "unknown"]
+    assert values(spark, lambda c: X.severity(c, native_ordinal=True), ["5", "3", "9", "7.5", "0", "11", "High"]) == ["critical", "high", "critical", "high", "none", "unknown", "high"]
+    assert values(spark, lambda c: X.severity(c, F.lit(5.0)), ["x", "11", "-1", None]) == ["medium"] * 4 and values(spark, lambda c: X.severity(c, F.lit(50.0)), ["x"]) == ["unknown"]
+    assert values(spark, lambda c: X.severity_basis(c)["basis"], ["3", "6.5", "Low", "?"]) == ["numeric_provider_severity", "numeric_cvss_like_score", "text_alias:low", "unrecognized_or_missing"]
     assert values(spark, X.status, ["Fixed", "Risk-Accepted", "In Review"]) == ["remediated", "accepted_risk", "in_review"]
     assert values(spark, X.disposition, ["Fixed", "In Review", None]) == ["remediated", "confirmed", "confirmed"]
     assert values(spark, X.pointer_escape, ["a/b~c"]) == ["a~1b~0c"]
@@ -36,10 +40,25 @@ def test_controls(spark):
 
 def test_actions(spark):
     none = F.lit(None).cast("string")
-    key = lambda c: groups.action_key(c, none, none, F.lit("Pack"), none, none, none, F.lit("V"), F.lit("f1"))["kind"]
+    key = lambda c: groups.action_key(c, none, none, F.lit("Pack"), none, none, none, none, F.lit("V"), F.lit("f1"))["kind"]
     assert values(spark, key, ["apply PATCH-A1 soon", "Upgrade it", "rotate the keys", None]) == ["explicit_action", "finding", "targeted_solution", "finding"]
 
 
+def test_action_tokens_and_targets(spark):
+    none = F.lit(None).cast("string")
+    assert values(spark, lambda c: groups.explicit_action(c, none, none), ["see FIX-A- now", "ms12 KB1234x KB123", "BULLETIN_9"]) == ["fix-a", "kb123", "bulletin_9"]
+    key = lambda entity, target: lambda c: groups.action_key(c, none, none, none, none, F.lit("g"), entity, target, F.lit("V"), F.lit("f1"))["key"]
+    target = "target:" + hashlib.sha256(b'["10.0.0.1"]').hexdigest()[:16]
+    assert values(spark, key(none, F.lit("10.0.0.1")), ["Upgrade  it"]) == [f"g|{target}|solution:upgrade it"]
+    assert values(spark, key(F.lit("se-1"), F.lit("h")), ["Upgrade it"]) == ["g|entity:se-1|solution:upgrade it"]
+
+
+def test_impact_takes_the_higher_of_severity_and_score(spark):
+    rows = [("medium", 9.8, None, None, "critical"), ("high", 2.0, None, None, "high"), ("unknown", None, None, None, "low"), ("low", None, "allows SSRF", None, "high"), ("low", 1.0, "x", "injection flaw", "high")]
+    df = spark.createDataFrame([(*r, None) for r in rows], "severity string, cvss double, title string, cwe string, want string, technical_impact string").withColumn("description", F.lit(None).cast("string"))
+    assert all(r.got == r.want for r in df.select(pipeline.technical_impact().alias("got"), "want").collect())
+
+
 def test_components_and_baseline(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.root) for r in groups.components(e, "a", "b").collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
@@ -62,5 +81,5 @@ def test_components_of_all_part_supplier_edges(spark, tmp_path):
         if p is not None:
             a, b = root(2 * p), root(2 * s + 1)
             up[max(a, b)] = min(a, b)
-    got = entry.queries()["connected_components_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["connected_components"](spark, str(tmp_path)).collect()
     assert len(got) == len(up) and {r.node: r.root for r in got} == {x: root(x) for x in up}

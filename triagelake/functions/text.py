@@ -91,16 +91,32 @@ def identifiers(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(IDENTIFIER), 1), F.upper)))
 
 
+def score_band(x: Column) -> Column:
+    """The severity of a score of 0 to 10, else null."""
+    return F.when((x < 0) | (x > 10), None).when(x >= 9, "critical").when(x >= 7, "high").when(x >= 4, "medium").when(x > 0, "low").when(x == 0, "none")
+
+
+def severity_basis(c: Column, cvss: Column | None = None, native_ordinal: bool = False) -> Column:
+    """struct(severity, basis): a plain number by the provider's ordinals, small ordinals or bands of 0 to 10; then words; then the score.
+
+    severity is critical, high, medium, low, none or unknown. native_ordinal: 1 to 5, as some providers count.
+    """
+    x = F.when(c.rlike(r"^\s*\d+(\.\d+)?\s*$"), parse_float(c))
+    whole = x == F.floor(x)
+    five = F.when(x == 5, "critical").when(x.isin(3, 4), "high").when(x == 2, "medium").when(x == 1, "low")
+    four = F.when(x == 4, "critical").when(x == 3, "high").when(x == 2, "medium").when(x == 1, "low").when(x == 0, "none")
+    word = F.lower(F.trim(c))
+    said = lambda level, basis: F.struct(level.alias("severity"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"))
+    out = F.when(F.lit(native_ordinal) & whole & five.isNotNull(), said(five, "qualys_native_ordinal_1_5")).when(whole & four.isNotNull(), said(four, "numeric_provider_severity"))
+    out = out.when(score_band(x).isNotNull(), said(score_band(x), "numeric_cvss_like_score"))
+    out = out.when(lookup(word, SEVERITY_WORDS).isNotNull(), said(lookup(word, SEVERITY_WORDS), F.concat(F.lit("text_alias:"), word)))
+    if cvss is not None:
+        out = out.when(score_band(cvss).isNotNull(), said(score_band(cvss), "numeric_cvss_like_score"))
+    return out.otherwise(said(F.lit("unknown"), "unrecognized_or_missing"))
+
+
 def severity(c: Column, cvss: Column | None = None, native_ordinal: bool = False) -> Column:
-    """critical, high, medium, low, none or null: words, ordinals, 0-10 bands, then the score."""
-    word = lookup(F.lower(F.trim(c)), SEVERITY_WORDS)
-    x = parse_float(c)
-    bands = lambda s: F.when(s >= 9, "critical").when(s >= 7, "high").when(s >= 4, "medium").when(s > 0, "low").when(s == 0, "none")
-    ordinal = F.when(x == 5, "critical").when(x.isin(3, 4), "high").when(x == 2, "medium").when(x == 1, "low")
-    small = F.when(x == 4, "critical").when(x == 3, "high").when(x == 2, "medium").when(x == 1, "low").when(x == 0, "none")
-    number = F.when(bounded(x, 1, 5).isNotNull() & (x == F.floor(x)), ordinal) if native_ordinal else F.when(bounded(x, 0, 4).isNotNull() & (x == F.floor(x)), small).when(bounded(x, 0, 10).isNotNull(), bands(x))
-    out = F.coalesce(word, number)
-    return out if cvss is None else F.coalesce(out, bands(cvss))
+    return severity_basis(c, cvss, native_ordinal)["severity"]
 
 
 def status(c: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from triagelake.functions import text as X
 from triagelake.functions.aliases import FIELDS, field
+from triagelake.operators import entities as E
 from triagelake.operators import groups as G
 from triagelake.operators import tier as T
 
@@ -53,7 +54,12 @@ def normalise(raw: DataFrame) -> DataFrame:
         "ip_addresses": addresses(F.col("ip")), "port": X.parse_port(F.col("port")), "status": X.status(F.col("status")), "kev": X.parse_bool(F.col("kev")),
         "exploited_in_wild": X.parse_bool(F.col("exploited_in_wild")), "internet_exposed": X.parse_bool(F.col("internet_exposed")), "first_seen": X.parse_time(F.col("first_seen")), "last_seen": X.parse_time(F.col("last_seen")),
     })
-    f = f.withColumn("severity", F.when(F.col("provider") == "qualys", X.severity(F.col("severity"), F.col("cvss"), native_ordinal=True)).otherwise(X.severity(F.col("severity"), F.col("cvss"))))
+    said = F.when(F.col("provider") == "qualys", X.severity_basis(F.col("severity"), F.col("cvss"), native_ordinal=True)).otherwise(X.severity_basis(F.col("severity"), F.col("cvss")))
+    f = f.withColumn("__s", said).withColumns({"severity": F.col("__s.severity"), "severity_basis": F.col("__s.basis")}).drop("__s")
+    f = f.withColumns({
+        "cwes": F.filter(F.coalesce(X.identifiers(F.col("cwe")), F.array().cast("array<string>")), lambda x: x.startswith("CWE-")), "cvss_version": X.parse_float(F.col("cvss_version")),
+        "vendor_risk_score": X.parse_float(F.col("vendor_risk_score")), "patch_available": X.parse_bool(F.col("patch_available")), "tags": X.unique_text(X.as_list(F.col("tags"))),
+    })
     native = F.when(X.usable(F.col("vulnerability_identifier"), X.PLACEHOLDERS), F.upper(F.trim("vulnerability_identifier")))
     f = f.withColumn("vulnerability", F.when(F.size("cves") > 0, F.array_join("cves", ",")).otherwise(native))
     target = X.usable(F.col("asset_id")) | X.usable(F.col("hostname")) | X.usable(F.col("fqdn")) | (F.size("ip_addresses") > 0)
@@ -62,7 +68,7 @@ def normalise(raw: DataFrame) -> DataFrame:
         F.when(F.col("malformed").isNotNull(), F.col("malformed")).when(F.col("duplicate_keys"), "duplicate keys").when(F.col("vulnerability").isNull(), "missing required vulnerability identity")
         .when(~target, "missing required target identity").when(marked, "semantic validation failed")
     )
-    warned = F.col("title").isNull() | F.col("severity").isNull() | (F.col("cvss_score").isNotNull() & F.col("cvss").isNull())
+    warned = F.col("title").isNull() | (F.col("severity") == "unknown") | (F.col("cvss_score").isNotNull() & F.col("cvss").isNull())
     state = F.when(F.col("malformed").isNotNull() | F.col("duplicate_keys") | reason.startswith("missing") | reason.startswith("semantic"), "quarantined").when(warned, "accepted_with_warnings").otherwise("accepted")
     occurrence = F.coalesce(F.when(X.usable(F.col("source_record_id"), X.PLACEHOLDERS), F.col("source_record_id")), F.col("record_pointer"))
     finding = F.concat(F.lit("f-"), X.stable_id(F.col("provider"), occurrence, F.col("report_sha256"), F.col("record_pointer")))
@@ -80,18 +86,20 @@ def accounting(f: DataFrame) -> DataFrame:
 
 
 def technical_impact() -> Column:
-    t = F.lower(F.concat_ws(" ", "title", "description", "technical_impact"))
+    t = F.lower(F.concat_ws(" ", "title", "description", "technical_impact", "cwe"))
     own = F.lower(F.coalesce("technical_impact", F.lit("")))
-    by_score = F.when(F.col("cvss") >= 9, "critical").when(F.col("cvss") >= 7, "high").when(F.col("cvss") >= 4, "medium").otherwise("low")
+    # severity or score, whichever says more
+    level = F.greatest(T.impact_rank(F.col("severity")), T.score_rank(F.col("cvss")))
+    by_level = F.when(level >= 4, "critical").when(level >= 3, "high").when(level >= 2, "medium").otherwise("low")
     return (
         F.when(own.isin("critical", "rce", "auth_bypass") | T.any_of(t, CRITICAL), "critical").when(own.isin("high", "injection", "data_exposure", "data_tampering") | T.any_of(t, HIGH), "high")
-        .when((own == "medium") | T.any_of(t, MEDIUM), "medium").when(F.col("severity").isin("critical", "high", "medium"), F.col("severity")).otherwise(by_score)
+        .when((own == "medium") | T.any_of(t, MEDIUM), "medium").otherwise(by_level)
     )
 
 
 def assess(f: DataFrame) -> DataFrame:
     """disposition, impact and the confidence that missing fields leave."""
-    gaps = sum((F.col(c).isNull().cast("int") for c in ("severity", "internet_exposed", "epss", "business_criticality", "exploited_in_wild", "solution")), F.lit(0))
+    gaps = sum((F.when(F.col(c).isNull() | (F.col(c).cast("string") == "unknown"), 1).otherwise(0) for c in ("severity", "internet_exposed", "epss", "business_criticality", "exploited_in_wild", "solution")), F.lit(0))
     return f.withColumns({"disposition": X.disposition(F.col("status")), "impact_level": technical_impact(), "confidence": F.round(F.greatest(F.lit(0.25), 1 - 0.08 * gaps), 2)})
 
 
@@ -121,7 +129,7 @@ def correlate(f: DataFrame) -> DataFrame:
     Findings are linked if they share a vulnerability and a target token. A link by address alone is refused where both
     ends name hosts and share none.
     """
-    f = f.withColumn("tokens", asset_tokens()).withColumn("hosts", F.filter("tokens", lambda t: t.startswith("asset-name:")))
+    f = E.observed(f).withColumn("tokens", asset_tokens()).withColumn("hosts", F.filter("tokens", lambda t: t.startswith("asset-name:")))
     ends = f.select("id", "ordinal", "vulnerability", "hosts", F.explode("tokens").alias("token"))
     first = ends.groupBy("vulnerability", "token").agg(F.min_by(F.struct("id", "hosts"), F.struct("ordinal", "id")).alias("o"))
     links = ends.join(first, ["vulnerability", "token"]).filter(F.col("id") != F.col("o.id"))
@@ -143,7 +151,8 @@ def correlate(f: DataFrame) -> DataFrame:
 
 def remediate(f: DataFrame) -> DataFrame:
     """f with the kind and key of its action, and action_id."""
-    key = G.action_key(F.col("solution"), F.col("remediation_action_id"), F.col("remediation_id"), F.col("package"), F.col("fixed_version"), F.col("group_id"), F.coalesce("asset_id", "hostname", "fqdn"), F.col("vulnerability"), F.col("id"))
+    target = F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in ("fqdn", "hostname", "asset_id")), F.get("ip_addresses", F.lit(0)))
+    key = G.action_key(F.col("solution"), F.col("remediation_action_id"), F.col("remediation_id"), F.col("package"), F.col("fixed_version"), F.col("group_id"), F.col("entity"), target, F.col("vulnerability"), F.col("id"))
     f = f.withColumn("__a", key).withColumns({"action_kind": F.col("__a.kind"), "action_key": F.col("__a.key")}).drop("__a")
     return f.withColumn("action_id", F.concat(F.lit("RA-"), F.upper(X.stable_id(F.col("action_kind"), F.col("action_key"), length=12))))
 
@@ -151,7 +160,7 @@ def remediate(f: DataFrame) -> DataFrame:
 def actions(f: DataFrame) -> DataFrame:
     """One row per action over findings that are neither false positives, done, nor unconfirmed."""
     live = remediate(f).filter(~F.col("disposition").isin("false_positive", "remediated", "unconfirmed"))
-    return G.actions(live, ["action_id", "action_kind", "action_key"], "tier_rank", "id")
+    return G.actions(live, ["action_id", "action_kind", "action_key"], "tier_rank", "id", solution="solution")
 
 
 def run(raw: DataFrame) -> dict[str, DataFrame]:

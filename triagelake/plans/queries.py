@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as X
+from triagelake.functions.aliases import field
+from triagelake.operators import entities as E
 from triagelake.operators import groups as G
+from triagelake.operators import pipeline as P
+from triagelake.operators import report as R
 from triagelake.operators import tier as T
 from triagelake.plans.views import FINDINGS_SQL, findings, table
 
@@ -35,9 +39,9 @@ def tier_decision(spark, d):
     return T.tiered(findings(spark, d)).groupBy("tier", "disposition").agg(F.count("*").alias("findings"), F.count("effective").alias("effective"))
 
 
-@query(with_f("SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, tier, effective FROM t"))
+@query(with_f("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, tier, effective FROM t"))
 def tier_rows(spark, d):
-    return T.tiered(findings(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tier", "effective").distinct()
+    return T.tiered(findings(spark, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tier", "effective")
 
 
 @query(with_f("SELECT count(*) FILTER (active AND tier_rank > 2) AS below_floor, count(*) FILTER (active AND raw_rank > 2) AS raised FROM t"))
@@ -87,8 +91,8 @@ def findings_limit(spark, d):
     return T.tiered(findings(spark, d)).filter("tier = 'P1'").orderBy(*cols).limit(50).select(*cols)
 
 
-@query("""SELECT p_size, CASE WHEN p_size = 5 THEN 'critical' WHEN p_size IN (3, 4) THEN 'high' WHEN p_size = 2 THEN 'medium' WHEN p_size = 1 THEN 'low' END AS native,
-  CASE WHEN p_size = 4 THEN 'critical' WHEN p_size = 3 THEN 'high' WHEN p_size = 2 THEN 'medium' WHEN p_size = 1 THEN 'low' WHEN p_size = 0 THEN 'none' WHEN p_size BETWEEN 9 AND 10 THEN 'critical' WHEN p_size BETWEEN 7 AND 10 THEN 'high' WHEN p_size BETWEEN 4 AND 10 THEN 'medium' END AS banded, count(*) AS n FROM part GROUP BY 1""")
+@query("""WITH b AS (SELECT p_size, CASE WHEN p_size = 4 THEN 'critical' WHEN p_size = 3 THEN 'high' WHEN p_size = 2 THEN 'medium' WHEN p_size = 1 THEN 'low' WHEN p_size = 0 THEN 'none' WHEN p_size BETWEEN 9 AND 10 THEN 'critical' WHEN p_size BETWEEN 7 AND 10 THEN 'high' WHEN p_size BETWEEN 4 AND 10 THEN 'medium' ELSE 'unknown' END AS banded FROM part)
+SELECT p_size, CASE WHEN p_size = 5 THEN 'critical' WHEN p_size IN (3, 4) THEN 'high' WHEN p_size = 2 THEN 'medium' WHEN p_size = 1 THEN 'low' ELSE banded END AS native, banded, count(*) AS n FROM b GROUP BY ALL""")
 def severity_normalize(spark, d):
     s = F.col("p_size").cast("string")
     return table(spark, d, "part").groupBy("p_size", X.severity(s, native_ordinal=True).alias("native"), X.severity(s).alias("banded")).agg(F.count("*").alias("n"))
@@ -107,10 +111,10 @@ def bool_parse(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.parse_bool(word).alias("flag"))
 
 
-@query(r"""SELECT ip, count(*) AS documents FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}')) AS ip FROM documents) GROUP BY ip""")
+@query("""SELECT p_partkey, 'CVE-2024-' || (10000 + p_partkey) || ',CWE-' || p_size AS ids FROM part""")
 def identifier_extract(spark, d):
-    ip = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}"), 0))).alias("ip")
-    return table(spark, d, "documents").select("doc_id", ip).groupBy("ip").agg(F.count("*").alias("documents"))
+    text = F.concat(F.lit("cwe-"), F.col("p_size").cast("string"), F.lit(" in "), "p_name", F.lit(", see cve-2024-"), (F.col("p_partkey") + 10000).cast("string"), F.lit("; CWE-"), F.col("p_size").cast("string"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(X.identifiers(text), ",").alias("ids"))
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(replace(p_name, ' ', ', '), ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts FROM part""")
@@ -123,31 +127,47 @@ def json_selector(spark, d):
     return table(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
 
 
-@query("""SELECT 'supplier' AS source, s_suppkey AS id, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name, c_nationkey FROM customer""")
+@query("""SELECT 'supplier' AS source, CAST(s_suppkey AS VARCHAR) AS id, s_name AS name, s_nationkey AS nation FROM supplier UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR), c_name, c_nationkey FROM customer""")
 def alias_coalesce(spark, d):
-    both = table(spark, d, "supplier").withColumn("source", F.lit("supplier")).unionByName(table(spark, d, "customer").withColumn("source", F.lit("customer")), allowMissingColumns=True)
-    first = lambda *names: F.coalesce(*names)
-    return both.select("source", first("s_suppkey", "c_custkey").alias("id"), first("s_name", "c_name").alias("name"), first("s_nationkey", "c_nationkey").alias("nation"))
+    return named(spark, d).select("source", field("asset_id").alias("id"), field("title").alias("name"), "nation")
 
 
-ADMISSION_SQL = """SELECT CASE WHEN user_id % 7 = 0 THEN 'quarantined' WHEN value < 1 THEN 'rejected' WHEN event_type = 'error' THEN 'accepted_with_warnings' ELSE 'accepted' END AS state FROM events"""
+def named(spark, d):
+    """Two sources that call one thing by different names, as indexes of their fields."""
+    index = lambda *kv: F.create_map(*[F.lit(x) if i % 2 == 0 else F.col(x).cast("string") for i, x in enumerate(kv)])
+    none = F.create_map().cast("map<string,string>")
+    s = table(spark, d, "supplier").select(F.lit("supplier").alias("source"), F.lit("generic_json").alias("provider"), index("name", "s_name", "hostid", "s_suppkey").alias("exact"), none.alias("leaf"), F.col("s_nationkey").alias("nation"))
+    c = table(spark, d, "customer").select(F.lit("customer").alias("source"), F.lit("tenable").alias("provider"), index("pluginname", "c_name").alias("exact"), index("uuid", "c_custkey", "title", "c_mktsegment").alias("leaf"), F.col("c_nationkey").alias("nation"))
+    return s.union(c)
 
 
-def admitted(spark, d):
-    vulnerability = F.when(F.col("user_id") % 7 == 0, " N/A ").otherwise(F.col("user_id").cast("string"))
-    state = F.when(~X.usable(vulnerability), "quarantined").when(F.col("value") < 1, "rejected").when(F.col("event_type") == "error", "accepted_with_warnings").otherwise("accepted")
-    return table(spark, d, "events").select("event_id", state.alias("state"))
+ADMISSION_SQL = """SELECT CASE WHEN user_id % 7 = 0 OR value < 1 THEN 'quarantined' WHEN event_type = 'error' THEN 'accepted_with_warnings' ELSE 'accepted' END AS state FROM events"""
 
 
-@query(f"SELECT state, count(*) AS records FROM ({ADMISSION_SQL}) GROUP BY 1")
+def admitted(spark, d):
+    """Events as raw records: some without a usable vulnerability, target or title."""
+    known = {
+        "cve": F.when(F.col("user_id") % 7 == 0, " N/A ").otherwise(F.concat(F.lit("cve-2024-"), (F.col("user_id") + 10000).cast("string"))), "assetid": F.when(F.col("value") < 1, "unknown").otherwise("host"),
+        "title": F.when(F.col("event_type") != "error", F.col("event_type")), "severity": F.lit("low"),
+    }
+    exact = F.map_filter(F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    raw = table(spark, d, "events").select(
+        F.col("event_id").alias("ordinal"), F.lit("generic_json").alias("provider"), F.lit("f").alias("report_sha256"), F.col("event_id").cast("string").alias("record_pointer"), F.lit("{}").alias("original_record"),
+        exact.alias("exact"), F.create_map().cast("map<string,string>").alias("leaf"), F.lit(False).alias("duplicate_keys"), F.lit(None).cast("string").alias("malformed"),
+    )
+    return P.normalise(raw)
+
+
+@query(f"SELECT s.state, count(a.state) AS records FROM (VALUES ('accepted'), ('accepted_with_warnings'), ('quarantined'), ('rejected')) s(state) LEFT JOIN ({ADMISSION_SQL}) a USING (state) GROUP BY 1")
 def admission_quarantine(spark, d):
-    return admitted(spark, d).groupBy("state").agg(F.count("*").alias("records"))
+    return P.accounting(admitted(spark, d))
 
 
 @query(f"SELECT count(*) AS total, count(*) FILTER (state LIKE 'accepted%') AS accepted, count(*) FILTER (state NOT LIKE 'accepted%') AS refused, true AS balanced FROM ({ADMISSION_SQL})")
 def accounting_invariant(spark, d):
-    yes = F.col("state").startswith("accepted")
-    a = admitted(spark, d).agg(F.count("*").alias("total"), F.count_if(yes).alias("accepted"), F.count_if(~yes).alias("refused"))
+    n, yes = F.sum("records"), F.col("state").startswith("accepted")
+    part = lambda c: F.sum(F.when(c, F.col("records")).otherwise(0))
+    a = P.accounting(admitted(spark, d)).agg(n.alias("total"), part(yes).alias("accepted"), part(~yes).alias("refused"))
     return a.withColumn("balanced", F.col("total") == F.col("accepted") + F.col("refused"))
 
 
@@ -179,20 +199,19 @@ def blocking_edges(spark, d):
     return G.blocking_edges(table(spark, d, "orders"), "o_orderkey", ["o_custkey", "o_orderdate"], "o_orderkey")
 
 
-CC_SQL = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 500 AS a, 1000 + l_suppkey % 400 AS b FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 1 AND l_orderkey % 5 = 0),
-  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+CC_SQL = """WITH RECURSIVE e AS (SELECT 2 * o_custkey AS a, 2 * o_orderkey + 1 AS b FROM orders), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r(node, root) AS (SELECT a, a FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
 SELECT node, min(root) AS root FROM r GROUP BY node"""
 
 
 @query(CC_SQL)
-def connected_components(spark, d):
-    e = table(spark, d, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 1 AND l_orderkey % 5 = 0")
-    return G.components(e.select((F.col("l_partkey") % 500).alias("a"), (F.col("l_suppkey") % 400 + 1000).alias("b")).distinct(), "a", "b")
+def components_of_orders(spark, d):
+    """All customer-order edges with ids as they are."""
+    return G.components(table(spark, d, "orders").select((F.col("o_custkey").cast("long") * 2).alias("a"), (F.col("o_orderkey").cast("long") * 2 + 1).alias("b")), "a", "b")
 
 
 @query()
-def connected_components_whole(spark, d):
+def connected_components(spark, d):
     """All part-supplier edges with ids as they are, parts even and suppliers odd: no SQL, which is too slow on them."""
     e = table(spark, d, "lineitem").filter("l_partkey IS NOT NULL AND l_suppkey IS NOT NULL")
     return G.components(e.select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b")).distinct(), "a", "b")
@@ -211,18 +230,18 @@ def alias_intersection(spark, d):
 
 @query("""SELECT nation, count(*) AS members, count(DISTINCT source) AS sources, count(DISTINCT source) > 1 AS crosses FROM (SELECT s_nationkey AS nation, 's' AS source FROM supplier UNION ALL SELECT c_nationkey, 'c' FROM customer) GROUP BY 1""")
 def cross_source_groups(spark, d):
-    return alias_coalesce(spark, d).groupBy("nation").agg(F.count("*").alias("members"), F.countDistinct("source").alias("sources"), (F.countDistinct("source") > 1).alias("crosses"))
+    return G.crossing(named(spark, d), "nation", "source")
 
 
 @query("""SELECT o_custkey, count(DISTINCT o_orderpriority) AS severities, count(*) AS findings FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1""")
 def conflict_groups(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.countDistinct("o_orderpriority").alias("severities"), F.count("*").alias("findings")).filter("severities > 1")
+    return G.disagreeing(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
 
 
 @query("""SELECT p_brand, count(*) AS findings, count(DISTINCT l_orderkey) AS groups, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS providers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
 def vulnerability_rollup(spark, d):
     f = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return f.groupBy("p_brand").agg(F.count("*").alias("findings"), F.countDistinct("l_orderkey").alias("groups"), G.joined(F.collect_set("l_returnflag")).alias("providers"))
+    return G.rollup(f, "p_brand", "l_orderkey", "l_returnflag")
 
 
 @query("""WITH b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) < 1998), c AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) >= 1998)
@@ -245,18 +264,19 @@ def baseline_reconcile_state(spark, d):
 def action_key(spark, d):
     p, k, none = table(spark, d, "part"), F.col("p_partkey"), F.lit(None).cast("string")
     solution = F.when(k % 11 == 0, F.concat(F.lit("Install  KB"), (k + 1000).cast("string"), F.lit(" now"))).otherwise("Upgrade")
-    key = G.action_key(solution, F.lit("N/A"), none, F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")), F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string"))), F.concat(F.lit("e"), F.col("p_size").cast("string")), F.lit("v"), k.cast("string"))
+    key = G.action_key(solution, F.lit("N/A"), none, F.col("p_brand"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")), F.when(k % 3 == 0, F.concat(F.lit("g"), k.cast("string"))), F.concat(F.lit("e"), F.col("p_size").cast("string")), none, F.lit("v"), k.cast("string"))
     return p.select("p_partkey", key.alias("x")).select("p_partkey", "x.kind", "x.key")
 
 
 ACTIONS_SQL = """, a AS (SELECT *, row_number() OVER (PARTITION BY p_brand, l_returnflag ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) AS r FROM t)
-SELECT p_brand, l_returnflag, count(*) AS members, min(tier_rank) AS highest, min(CASE WHEN disposition = 'confirmed' THEN tier_rank END) AS highest_active FROM a GROUP BY 1, 2"""
+SELECT p_brand, l_returnflag, count(*) AS members, min(tier_rank) AS highest, min(CASE WHEN disposition = 'confirmed' THEN tier_rank END) AS highest_active,
+  array_to_string(list_sort(list(l_orderkey * 10 + l_linenumber) FILTER (r <= 25)), ',') AS sample FROM a GROUP BY 1, 2"""
 
 
 @query(f"WITH {FINDINGS_SQL} {ACTIONS_SQL}")
 def action_groups(spark, d):
     f = T.tiered(findings(spark, d)).withColumn("member", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    return G.actions(f, ["p_brand", "l_returnflag"], "tier_rank", "member").drop("sample")
+    return G.actions(f, ["p_brand", "l_returnflag"], "tier_rank", "member")
 
 
 @query(with_f("""SELECT p_brand, CAST(sum(id) AS BIGINT) AS ids, count(*) AS sampled FROM (SELECT p_brand, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY p_brand ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) AS r FROM t) WHERE r <= 25 GROUP BY 1"""))
@@ -266,16 +286,15 @@ def evidence_sample_25(spark, d):
     return f.withColumn("r", r).filter("r <= 25").groupBy("p_brand").agg(F.sum("id").alias("ids"), F.count("*").alias("sampled"))
 
 
-@query(with_f("""SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, n AS shared FROM t JOIN (SELECT p_brand, l_returnflag, count(*) AS n FROM t WHERE disposition <> 'accepted_risk' GROUP BY 1, 2) USING (p_brand, l_returnflag)"""))
+@query(with_f("""SELECT l_orderkey, l_linenumber, l_partkey, n AS shared FROM t JOIN (SELECT p_brand, l_returnflag, count(*) AS n FROM t WHERE disposition <> 'accepted_risk' GROUP BY 1, 2) USING (p_brand, l_returnflag)"""))
 def action_join_back(spark, d):
     f = T.tiered(findings(spark, d))
-    n = f.filter("disposition <> 'accepted_risk'").groupBy("p_brand", "l_returnflag").agg(F.count("*").alias("shared"))
-    return f.join(n, ["p_brand", "l_returnflag"]).select("l_orderkey", "l_linenumber", "l_partkey", "shared").distinct()
+    return G.shared_actions(f, ["p_brand", "l_returnflag"], F.col("disposition") != "accepted_risk").select("l_orderkey", "l_linenumber", "l_partkey", "shared")
 
 
-@query(r"""SELECT page_id, regexp_replace(url, '^https?://[^/]*', '[HOST]') AS url, sha256(html) AS original FROM pages""")
+@query(r"""SELECT page_id, url, CASE WHEN url IS NOT NULL THEN '[REDACTED]' END AS api_key, '[REDACTED_PATH]' AS place, 'sha256:' || sha256(html) AS original_record FROM pages""")
 def redaction(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_replace("url", "^https?://[^/]*", "[HOST]").alias("url"), F.sha2("html", 256).alias("original"))
+    return R.shareable(table(spark, d, "pages").select("page_id", "url", F.col("url").alias("api_key"), F.lit("/srv/exports/a.json").alias("place"), F.col("url").alias("source_path"), F.col("html").alias("original_record")))
 
 
 @query(r"""SELECT doc_id, CASE WHEN regexp_matches(ltrim(text), '^[=+\-@]') THEN '''' || text ELSE text END AS text FROM documents""")
@@ -289,11 +308,14 @@ def mapping_coverage(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("records"), share(F.col("value") >= 1).alias("value_rate"), share(F.get_json_object("props", "$.k").isNotNull()).alias("k_rate"))
 
 
-@query("""SELECT CASE WHEN contains(t, 'rce') OR contains(t, 'arbitrary code') THEN 'critical' WHEN contains(t, 'injection') OR contains(t, 'ssrf') THEN 'high' WHEN contains(t, 'dos') OR contains(t, 'exposure') THEN 'medium' ELSE 'low' END AS impact, count(*) AS documents FROM (SELECT lower(text) AS t FROM documents) GROUP BY 1""")
+IMPACT_SQL = " ".join(f"WHEN {' OR '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in words)} THEN '{level}'" for level, words in (("critical", P.CRITICAL), ("high", P.HIGH), ("medium", P.MEDIUM)))
+
+
+@query(f"SELECT CASE {IMPACT_SQL} WHEN n > 15000 THEN 'critical' WHEN n > 200 THEN 'medium' ELSE 'low' END AS impact, count(*) AS documents FROM (SELECT lower(text) AS t, n_chars AS n FROM documents) GROUP BY 1")
 def impact_keywords(spark, d):
-    t = F.lower("text")
-    level = F.when(T.any_of(t, ["rce", "arbitrary code"]), "critical").when(T.any_of(t, ["injection", "ssrf"]), "high").when(T.any_of(t, ["dos", "exposure"]), "medium").otherwise("low")
-    return table(spark, d, "documents").groupBy(level.alias("impact")).agg(F.count("*").alias("documents"))
+    none = F.lit(None).cast("string")
+    f = table(spark, d, "documents").select(none.alias("title"), F.col("text").alias("description"), none.alias("technical_impact"), none.alias("cwe"), F.when(F.col("n_chars") > 200, "medium").otherwise("unknown").alias("severity"), F.when(F.col("n_chars") > 15000, 9.5).alias("cvss"))
+    return f.groupBy(P.technical_impact().alias("impact")).agg(F.count("*").alias("documents"))
 
 
 @query("""SELECT user_id, event_id, r AS place FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r % 10 = 1""")
@@ -304,7 +326,38 @@ def stride_sample(spark, d):
 
 @query("""SELECT o_orderkey, l_partkey, l_suppkey, l_linenumber, coalesce(nullif(l_returnflag, 'A'), o_orderstatus) AS context FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def host_item_explode(spark, d):
-    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_partkey", "l_suppkey", "l_linenumber", F.nullif("l_returnflag", F.lit("A")).alias("mode"))).alias("items"))
-    hosts = table(spark, d, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
-    x = hosts.select("o_orderkey", "o_orderstatus", F.explode("items").alias("i"))
-    return x.select("o_orderkey", "i.l_partkey", "i.l_suppkey", "i.l_linenumber", F.coalesce("i.mode", "o_orderstatus").alias("context"))
+    both = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return both.select("o_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.coalesce(F.nullif("l_returnflag", F.lit("A")), "o_orderstatus").alias("context"))
+
+
+def observations(spark, d):
+    """Customers as observations of a vulnerability on a host; every other one has an asset id."""
+    c, none = table(spark, d, "customer"), F.lit(None).cast("string")
+    return c.select(
+        F.lower("c_mktsegment").alias("provider"), F.col("c_custkey").cast("string").alias("id"), none.alias("source_record_id"), F.array(F.concat(F.lit(" cve-"), F.col("c_nationkey").cast("string"))).alias("cves"),
+        none.alias("vulnerability_identifier"), F.concat(F.lit(" "), "c_name", F.lit(".")).alias("hostname"), none.alias("fqdn"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey").cast("string")).alias("asset_id"),
+        F.array().cast("array<string>").alias("ip_addresses"),
+    )
+
+
+OBSERVED_SQL = """o AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_custkey, c_mktsegment, list_sort(list_filter(['vulnerability:cve:CVE-' || c_nationkey || '|target:hostname:' || lower(c_name),
+  CASE WHEN c_custkey % 2 = 0 THEN 'vulnerability:cve:CVE-' || c_nationkey || '|target:asset-id:' || lower(c_mktsegment) || ':' || c_custkey END], lambda x: x IS NOT NULL)) AS a FROM customer),
+s AS (SELECT *, 'obs-' || substr(sha256('["observation",["' || array_to_string(a, '","') || '"]]'), 1, 24) AS signature FROM o),
+h AS (SELECT *, 'se-' || substr(sha256('["independent-run","' || signature || '"]'), 1, 24) AS entity FROM s)"""
+
+
+@query(f"WITH {OBSERVED_SQL} SELECT id, array_to_string(a, ' ') AS aliases, signature, entity FROM h")
+def semantic_entities(spark, d):
+    return E.observed(observations(spark, d)).select("id", F.array_join("aliases", " ").alias("aliases"), "signature", "entity")
+
+
+@query(f"""WITH {OBSERVED_SQL}, x AS (SELECT *, CASE WHEN c_mktsegment = 'BUILDING' OR (c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 1) THEN 0 WHEN c_mktsegment = 'AUTOMOBILE' THEN 2 ELSE 1 END AS candidates FROM h)
+SELECT id, candidates, CASE candidates WHEN 0 THEN 'unreconciled' WHEN 2 THEN 'ambiguous' ELSE CASE WHEN c_mktsegment = 'MACHINERY' THEN 'conflict' ELSE 'reconciled' END END AS state,
+  CASE WHEN candidates = 1 AND c_mktsegment <> 'MACHINERY' THEN 'known-' || id ELSE entity END AS entity FROM x""")
+def baseline_conflict(spark, d):
+    """A baseline without one provider; another's hosts have been renamed, a third's are known as two entities."""
+    now = E.observed(observations(spark, d))
+    renamed = observations(spark, d).withColumn("hostname", F.when(F.col("provider") == "machinery", F.concat(F.lit("old-"), F.trim("hostname"))).otherwise(F.col("hostname")))
+    known = E.observed(renamed.filter("provider <> 'building'")).withColumn("entity", F.concat(F.lit("known-"), "id"))
+    twice = known.filter("provider = 'automobile'").withColumn("entity", F.concat(F.lit("again-"), "id"))
+    return E.reconciled(now, E.registry(known.union(twice))).select("id", F.size("candidates").alias("candidates"), "state", "entity")
