@@ -81,3 +81,21 @@ def test_few_rows(spark):
     assert [v for _, v, _ in got[0]] == [50, 7] and [v for _, v, _ in got[50]] == [0, 7]
     assert run(frame(spark, [0], x[:1]), 50, 5) == {}
     assert run(frame(spark, [], x[:0]), 50, 5) == {}
+
+
+def test_very_small_and_large_components(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(60, 8))
+    ids = list(range(60))
+    scaled = x * np.array([1e-200, 1e200, 1.0, 5e-300, 1e150] * 12)[:, None]
+    got, want = run(frame(spark, ids, scaled), 10, 5), brute(ids, x, range(0, 60, 10), 5)
+    for q, found in got.items():
+        assert [v for _, v, _ in found] == [v for v, _ in want[q]] and np.allclose([s for _, _, s in found], [s for _, s in want[q]])
+
+
+def test_more_neighbours_than_kept_ids(spark):
+    df = frame(spark, list(range(31)), np.array([[1.0, 0.0]] * 30 + [[0.0, 1.0]]))
+    q = ann.valid(df, "vec_id", "embedding").filter("id = 0")
+    with pytest.raises(ValueError, match="members=21"):
+        ann.search(ann.build(df), q, 20)
+    assert [r.vec_id for r in ann.search(ann.build(df, members=21), q, 20).orderBy("rank").collect()] == list(range(1, 21))

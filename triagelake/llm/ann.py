@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, drop_path, partitions, scratch, written
@@ -267,8 +267,20 @@ def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", m
 STATE = "query long, unit binary, nodes binary, scores binary, expanded binary"
 
 
-def search(index: Index, queries: DataFrame, count: int, beam: int | None = None, step: int = 48, most: int = 60) -> DataFrame:
-    """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id."""
+def _scaled(v) -> Column:
+    """A vector times a power of two that brings its largest component near one: exact, so squares neither vanish nor overflow."""
+    top = F.array_max(F.transform(v, lambda x: F.abs(x)))
+    power = F.pow(F.lit(2.0), F.least(F.greatest(-F.floor(F.log2(top)), F.lit(-1000)), F.lit(1000)))
+    return F.transform(F.arrays_zip(v.alias("x"), F.array_repeat(power, F.size(v)).alias("p")), lambda z: z["x"] * z["p"])
+
+
+def search(index: Index, queries: DataFrame, count: int, beam: int | None = None, step: int = 48) -> DataFrame:
+    """query_id, rank, vec_id, score: the nearest of each query (id, vec) among rows with another id.
+
+    count is at most one less than the members that the index keeps of equal vectors.
+    """
+    if count >= index.members:
+        raise ValueError(f"the index keeps {index.members} ids of equal vectors, too few for {count} neighbours: build it with members={count + 1}")
     spark = queries.sparkSession
     beam = beam or breadth(index.total)
     step = max(step, beam // 4)
@@ -331,7 +343,7 @@ def search(index: Index, queries: DataFrame, count: int, beam: int | None = None
 
     n = partitions(spark)
     state = written(mine.mapInArrow(start, STATE), "walk")
-    for _ in range(most):
+    while True:  # each step expands nodes that were not expanded before, so it ends
         at = state.mapInArrow(frontier, "query long, node long")
         if not at.head(1):
             break
@@ -353,7 +365,8 @@ def search(index: Index, queries: DataFrame, count: int, beam: int | None = None
     given = q.select(F.col("id").alias("query"), F.col("vec").alias("mine"))
     pair = found.join(given, "query")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    score = dot("mine", "vec") / (F.sqrt(dot("mine", "mine")) * F.sqrt(dot("vec", "vec")))
+    pair = pair.withColumns({"m": _scaled(F.col("mine")), "v": _scaled(F.col("vec"))})
+    score = dot("m", "v") / (F.sqrt(dot("m", "m")) * F.sqrt(dot("v", "v")))
     rows = pair.select("query", "mine", (-score).alias("d"), F.explode("members").alias("vec_id"))
     # one more than asked for, as a query leaves itself out
     top = rows.groupBy("query").agg(F.first("mine").alias("vec"), F.slice(F.array_sort(F.collect_list(F.struct("d", "vec_id"))), 1, count + 1).alias("x"))
