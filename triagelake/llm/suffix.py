@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK, Roller, U, batch, blocks, long_binary, mix, partitions, ragged, row_key, signed, small_batches, text_buffers, written
@@ -203,13 +203,14 @@ def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
             return
         head, one, two, pos, rk, left, right = (np.concatenate(x) for x in zip(*parts, strict=True))
         del parts
-        words = head.view(">u8").astype(np.uint64).T
+        words = [np.ascontiguousarray(w).astype(np.uint64) for w in head.view(">u8").T]
         order = multikey_order([*words, one, two, rk[:, 0], rk[:, 1], pos])
         # neighbours that are equal to the depth of the leading bytes
         group = np.ones(max(0, len(order) - 1), bool)
         for w in words:
             w = w[order]
             group &= w[1:] == w[:-1]
+        lead = words[0][order]
         del words
         one, two, rk, pos, left, right = (x[order] for x in (one, two, rk, pos, left, right))
         equal = group & (one[1:] == one[:-1]) & (two[1:] == two[:-1])
@@ -220,7 +221,9 @@ def _bucketed(docs: DataFrame, cuts, width: int, gram: int) -> DataFrame:
         start = np.flatnonzero(~np.append(False, group))
         runs = np.add.reduceat((~before).astype(np.int64), start)
         splitters = np.frombuffer(shared.value.tobytes(), np.uint8).reshape(-1, wide + 32)[:, :wide]
-        edge = np.isin(_keys(head[order[start]]), _keys(splitters))
+        edge = np.isin(lead[start], np.ascontiguousarray(splitters[:, :8]).view(">u8").ravel().astype(np.uint64))
+        edge[edge] = np.isin(_keys(head[order[start[edge]]]), _keys(splitters))
+        del head
         many = np.repeat((runs > 1) | edge, np.diff(np.append(start, len(order))))
         ask = ~before & many
         for kind, pick in ((FULL, np.flatnonzero(full)), (ASK, np.flatnonzero(ask))):
@@ -247,10 +250,7 @@ CONTEXT = "rk binary, pos int, half int, left int, body binary"
 
 
 def _contexts(docs: DataFrame, asked: DataFrame, width: int, gram: int) -> DataFrame:
-    """The surroundings of the anchors asked for: one row for the strings that reach far right, one for the others.
-
-    lead: what all strings of a row share, over half a string around the anchor; key: its hash.
-    """
+    """The surroundings of the anchors asked for: one row for the strings that reach far right, one for the others; key: a hash of what they share."""
     split = (width - gram) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,31 +272,39 @@ def _contexts(docs: DataFrame, asked: DataFrame, width: int, gram: int) -> DataF
 
     asks = asked.groupBy("rk").agg(F.collect_list(F.struct("pos", "l", "r")).alias("asks"))
     found = _zipped(docs).select("rk", "z").join(asks, "rk").mapInArrow(run, CONTEXT)
-    lead = F.expr(f"CASE WHEN half = 0 THEN substring(body, left + 1, {width - split}) ELSE substring(body, left - {split}, {split + 1 + gram}) END")
-    return found.withColumn("lead", lead).withColumn("key", F.xxhash64("half", "lead"))
+    return found.withColumn("key", F.xxhash64("half", _lead(width, gram)))
+
+
+def _lead(width: int, gram: int) -> Column:
+    """What all strings of a context share, over half a string around the anchor."""
+    split = (width - gram) // 2
+    return F.expr(f"CASE WHEN half = 0 THEN substring(body, left + 1, {width - split}) ELSE substring(body, left - {split}, {split + 1 + gram}) END")
 
 
 def _strings(half: np.ndarray, left: np.ndarray, bodies: list[bytes], width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, how far before the anchor it begins, two hashes) of each string through the anchors."""
     split = (width - gram) // 2
     size = np.fromiter(map(len, bodies), np.int64, len(bodies))
-    base = np.cumsum(size) - size
     right = size - left
     least = np.maximum(np.where(half == 0, 0, split + 1), width - right)
     count = np.maximum(left - least + 1, 0)
     row = np.repeat(np.arange(len(bodies)), count)
     back = ragged(least, count)
-    start = base[row] + left[row] - back
-    data = np.frombuffer(b"".join(bodies), np.uint8)
-    place = back.astype(np.uint64) * U(0x9E3779B97F4A7C15)
-    one, two = (Roller(data, seed).ranges(start, start + width) for seed in (13, 14))
-    return row, back, mix(one + place), two
+    one, two = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
+    ends = np.append(0, np.cumsum(count))
+    for lo, hi in blocks(np.append(0, np.cumsum(size))):
+        at = slice(ends[lo], ends[hi])
+        base = np.cumsum(size[lo:hi]) - size[lo:hi]
+        start = base[row[at] - lo] + left[row[at]] - back[at]
+        data = np.frombuffer(b"".join(bodies[lo:hi]), np.uint8)
+        one[at], two[at] = (Roller(data, seed).ranges(start, start + width) for seed in (13, 14))
+    return row, back, mix(one + back.astype(np.uint64) * U(0x9E3779B97F4A7C15)), two
 
 
 SPANS = "rk binary, s int, e int"
 
 
-def _whole_leads(batches: Iterator[pa.RecordBatch], least: int = 4096) -> Iterator[pa.Table]:
+def _whole_leads(batches: Iterator[pa.RecordBatch], least: int = 2000) -> Iterator[pa.Table]:
     """Tables of some thousand rows that hold all rows of their leads, from batches that are ordered by half and lead."""
     rest, waiting = None, 0
     for b in batches:
@@ -365,9 +373,10 @@ def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
                 yield batch(one=signed(one), two=signed(two), rk=c.column("rk").take(pa.array(row)), pos=c.column("pos").to_numpy()[row], back=back.astype(np.int32))
 
     hot_keys = written(contexts.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("key"), "hot")
-    cold = contexts.join(hot_keys, "key", "left_anti").select("half", "lead", "rk", "pos", "left", "body")
-    cold = cold.repartitionByRange(partitions(contexts.sparkSession), "half", "lead").sortWithinPartitions("half", "lead", "rk", "pos")
-    out = cold.mapInArrow(run, SPANS)
+    cold = contexts.join(hot_keys, "key", "left_anti").select("half", "rk", "pos", "left", "body")
+    lead = _lead(width, gram)
+    cold = cold.repartitionByRange(partitions(contexts.sparkSession), "half", lead).sortWithinPartitions("half", lead, "rk", "pos")
+    out = cold.withColumn("lead", lead).mapInArrow(run, SPANS)
     if hot_keys.head(1):
         large = contexts.join(hot_keys, "key", "left_semi").select("half", "left", "body", "rk", "pos")
         strings = written(large.mapInArrow(explode, "one long, two long, rk binary, pos int, back int"), "strings").dropDuplicates(["one", "two", "rk", "pos", "back"])
@@ -378,7 +387,7 @@ def _matched(contexts: DataFrame, width: int, gram: int, hot: int) -> DataFrame:
     return out
 
 
-def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 4096) -> DataFrame:
+def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 20_000) -> DataFrame:
     """rk, spans: the byte ranges of each document that repeated strings cover; overlaps are not yet joined."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -392,7 +401,7 @@ def repeats(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 4096)
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<s:int,e:int>>, kept binary"
 
 
-def remove(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 4096) -> DataFrame:
+def remove(docs: DataFrame, width: int = 200, gram: int = 64, hot: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, spans (maximal runs, joined) and the kept bytes of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
