@@ -34,3 +34,24 @@ def test_empty(spark):
     path = scratch(spark, "orc")
     orcids.write(spark.createDataFrame([], "doc_id long, text string"), path, PATH, 0)
     assert orcids.digests(spark, path).count() == 0
+
+
+def test_files_have_indexes_bloom_filters_and_run_lengths(spark):
+    df = spark.createDataFrame([(i, f"t {i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    path = scratch(spark, "orc")
+    orcids.write(df, path, PATH, 0, row_stride=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = [f.getPath() for f in folder.getFileSystem(conf).listStatus(folder) if f.getPath().getName().endswith(".orc")]
+    assert files
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(f, jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(s.getColumn(), s.getKind().toString()) for s in footer.getStreamsList()}
+            encodings = [c.getKind().toString() for c in footer.getColumnsList()]
+            assert (1, "ROW_INDEX") in kinds and (1, "BLOOM_FILTER_UTF8") in kinds
+            assert encodings[1] == "DIRECT_V2" and encodings[-1] == "DIRECT_V2"  # the second version of integer run lengths
+        rows.close()

@@ -34,3 +34,12 @@ def test_empty(spark):
     path = scratch(spark, "warc")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert warc.resolved(spark, path).count() == 0
+
+
+def test_headers(spark):
+    path = scratch(spark, "warc")
+    warc.write(spark.createDataFrame([(2, "http://b", BIG), (1, "http://a", BIG)], "page_id long, url string, html string"), path, date="2025-02-03T04:05:06Z")
+    raw = "\n".join(r.value for r in spark.read.option("lineSep", "\n").text(path).collect())
+    one, two = sorted(raw.split("WARC/1.1\r")[1:])
+    assert "WARC-Type: response" in one and "HTTP/1.1 200 OK" in one and "Content-Type: application/http; msgtype=response" in one and f"Content-Length: {len(warc.HTTP) + 100}\r" in one
+    assert "WARC-Refers-To: <urn:page:1>" in two and "WARC-Refers-To-Target-URI: http://a" in two and "WARC-Refers-To-Date: 2025-02-03T04:05:06Z" in two and "Content-Length: 0\r" in two

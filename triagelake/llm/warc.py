@@ -5,6 +5,9 @@ bytes the smallest page_id is the response, and the others revisit it. Counting
 shuffle, and the join that brings the decision back runs over headers only; a digest held by many rows is salted, so a
 payload that a third of the pages share is spread over `SALTS` keys. The payloads themselves are moved once, by page.
 
+A response holds an HTTP head and the payload; a revisit holds no content and names the response, its URI and its date.
+All records of a run bear the date of writing.
+
 Archives are written by Spark's text sink (its committer makes a lost executor's files vanish): a record's text ends
 with the blank lines that WARC asks for, and a file is gzip-compressed. They are read back as lines in file order and
 framed again by Content-Length, so payloads may hold anything, blank lines and record heads included, and no file is
@@ -18,8 +21,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,50 +31,52 @@ from .common import batch, small_batches
 
 SALTS = 32
 CRLF = "\r\n"
+HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, stored_digest string, payload string"
 
 
 def headers(pages: DataFrame) -> DataFrame:
-    """page_id, digest and length of each payload."""
+    """page_id, url, digest and length of each payload."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"))
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("n"), _clean(F.col("url")).alias("url"))
 
 
 def revisits(pages: DataFrame, least: int = 100) -> DataFrame:
-    """page_id, digest, refers_to of the records that revisit another, once each."""
+    """page_id, digest, refers_to and refers_url of the records that revisit another, once each."""
     h = headers(pages).filter(F.col("n") >= least)
     last = F.lit(2**63 - 1)
-    first = h.groupBy("digest").agg(F.min(F.coalesce("page_id", last)).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    first = h.groupBy("digest").agg(F.min(F.struct(F.coalesce("page_id", last).alias("page"), "url")).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
     first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = h.withColumn("salt", F.pmod(F.hash("page_id"), F.lit(SALTS)))
-    found = salted.join(first, ["digest", "salt"]).filter(F.coalesce("page_id", last) > F.col("first"))
-    return found.select("page_id", "digest", F.col("first").alias("refers_to")).distinct()
+    found = salted.join(first, ["digest", "salt"]).filter(F.coalesce("page_id", last) > F.col("first.page"))
+    return found.select("page_id", "digest", F.col("first.page").alias("refers_to"), F.col("first.url").alias("refers_url")).distinct()
 
 
 def _clean(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
 
 
-def records(pages: DataFrame, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """The text of each record, without the blank lines after it."""
+def records(pages: DataFrame, least: int = 100, date: str | None = None) -> DataFrame:
+    """The text of each record, without the blank lines after it; date: of writing, now by default."""
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     h = pages.select(F.col("page_id").cast("long").alias("page_id"), _clean(F.col("url")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("body"))
     h = h.withColumn("digest", F.sha2(F.col("body").cast("binary"), 256)).withColumn("n", F.octet_length("body"))
     found = revisits(pages, least).withColumnRenamed("page_id", "p").withColumnRenamed("digest", "d")
     h = h.join(found, h.page_id.eqNullSafe(found.p) & (h.digest == found.d), "left")
     again = F.col("refers_to").isNotNull()
-    body = F.when(again, F.lit("")).otherwise(F.col("body"))
+    body = F.when(again, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("body")))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
-    refers = F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), name(F.col("refers_to")), F.lit(CRLF))).otherwise(F.lit(""))
+    refers = F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" + CRLF + "WARC-Refers-To: "), name(F.col("refers_to")), F.lit(CRLF + "WARC-Refers-To-Target-URI: "), F.col("refers_url"), F.lit(CRLF + f"WARC-Refers-To-Date: {date}" + CRLF))).otherwise(F.lit(""))
     return h.select(
         F.concat(
             F.lit("WARC/1.1" + CRLF + "WARC-Type: "), F.when(again, F.lit("revisit")).otherwise(F.lit("response")), F.lit(CRLF + "WARC-Record-ID: "), name(F.col("page_id")),
             F.lit(CRLF + f"WARC-Date: {date}" + CRLF + "WARC-Target-URI: "), F.col("url"), F.lit(CRLF), refers, F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"),
-            F.lit(CRLF + "X-Payload-Length: "), F.col("n").cast("string"), F.lit(CRLF + "Content-Type: text/html" + CRLF + "Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF + CRLF), body,
+            F.lit(CRLF + "X-Payload-Length: "), F.col("n").cast("string"), F.lit(CRLF + "Content-Type: application/http; msgtype=response" + CRLF + "Content-Length: "), F.octet_length(body).cast("string"), F.lit(CRLF + CRLF), body,
         ).alias("value")
     )
 
 
-def write(pages: DataFrame, path: str, least: int = 100, date: str = "2024-01-01T00:00:00Z") -> None:
+def write(pages: DataFrame, path: str, least: int = 100, date: str | None = None) -> None:
     records(pages, least, date).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
@@ -129,6 +134,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     continue
                 f, payload = got
                 kind = f[b"WARC-Type"].decode()
+                payload = payload.partition(b"\r\n\r\n")[2]
                 stored = hashlib.sha256(payload).hexdigest() if kind == "response" else None
                 rows.append((number(f[b"WARC-Record-ID"]), f.get(b"WARC-Target-URI", b"").decode(), kind, number(f.get(b"WARC-Refers-To")), int(f[b"X-Payload-Length"]), f[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), stored, payload if kind == "response" else None))
                 size += len(payload)
