@@ -4,7 +4,8 @@ Equal vectors are one node, which keeps its `members` smallest ids, enough to an
 neighbours; so a vector that a third of all rows share is one node too. The graph starts from leaves of random
 hyperplane trees, compared within blocks of bounded size. Each round of NN-descent then is a Spark join of edges, in
 both directions, with the vectors at their ends, grouped by the node they share: its neighbours are compared with each
-other, and each node keeps the best it has met. Both directions are sampled to a fixed number for each node, as the
+other, pairs that would enter a node's list are proposed to it, and each node keeps the best. Rounds end when few edges
+change. Both directions are sampled to a fixed number for each node, as the
 method has it; recall is measured against brute force in the tests.
 
 A query walks the graph greedily: it keeps the `beam` best nodes it has seen, and each step joins the graph to expand
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, drop_path, partitions, scratch, written
+from .common import batch, drop_path, partitions, ragged, scratch, written
 
 _ENTRIES = 64
 SALTS = 16
@@ -182,22 +183,32 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kin
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, rows = [], 0
         for t in _groups(batches, "hub"):
-            hub, node = t.column("hub").to_numpy(), t.column("node").to_numpy()
+            hub, node, bar = (t.column(c).to_numpy() for c in ("hub", "node", "bar"))
             x = _matrix(t.column("unit").combine_chunks(), dim, kind)
+            lists = t.column("known").combine_chunks()
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            held = np.diff(ends)
+            known = np.repeat(node[:, None], k, axis=1)  # a node is no neighbour of itself, so its own id is none
+            known[np.repeat(np.arange(len(node)), held), ragged(np.zeros(len(node), np.int64), held)] = lists.values.to_numpy()[ends[0] : ends[-1]]
             first = np.append(np.flatnonzero(np.append(True, hub[1:] != hub[:-1])), len(hub))
-            out = []
             for lo, hi in zip(first[:-1], first[1:], strict=True):
                 for s in range(lo, hi, 256):
-                    e = min(hi, s + 256)
-                    ids, at = np.unique(node[s:e], return_index=True)
+                    ids, at = np.unique(node[s : min(hi, s + 256)], return_index=True)
                     if len(ids) > 1:
-                        out.append(_within(x[s:e][at], ids, k // 2))
-                if len(out) > 500:
+                        a, o, v = _within(x[s + at], ids, k // 2)
+                        row = np.repeat(s + at, len(a) // len(ids))
+                        # what is no better than a node's worst neighbour can't enter, and what it has needn't
+                        good = np.flatnonzero(v > bar[row])
+                        good = good[(known[row[good]] != o[good, None]).all(axis=1)]
+                        out.append((a[good], o[good], v[good]))
+                        rows += len(good)
+                if rows > 500_000:
                     yield flush(out)
-                    out = []
-            if out:
-                yield flush(out)
+                    out, rows = [], 0
+        if rows:
+            yield flush(out)
 
     def flush(out):
         a, o, s = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -212,8 +223,10 @@ def _descend(graph: DataFrame, units: DataFrame, k: int, fan: int, dim: int, kin
     if fresh is not None:
         hubs = fresh.select(F.col("node").alias("hub")).union(fresh.select(F.col("other").alias("hub"))).distinct()
         around = around.join(hubs, "hub", "left_semi")
-    around = around.join(units, "node")
-    met = around.select("hub", "node", "unit").repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(local, EDGES)
+    # what each node has: at most k neighbours, and the score that a better one must pass
+    have = graph.groupBy("node").agg(F.collect_list("other").alias("known"), F.when(F.count("*") >= k, F.min("score")).otherwise(-2.0).alias("bar"))
+    around = around.join(units.join(have, "node"), "node")
+    met = around.select("hub", "node", "unit", "known", "bar").repartition(n, "hub").sortWithinPartitions("hub").mapInArrow(local, EDGES)
     return _keep(graph.union(met), k)
 
 
