@@ -53,3 +53,9 @@ def test_pieces_of_equal_hash_differ(name, monkeypatch):
     # even if every hash is the same, the bytes decide
     monkeypatch.setattr(tokens, "range_hashes", lambda data, start, end, seed=1: (end - start).astype(np.uint64) // 20)
     check(name, TEXTS + ["abcdefghijklmnopqrstuvwxyz0123456789 abcdefghijklmnopqrXtuvwxyz0123456789", "aaaaaaaaaabbbbbbbbbbaaaaaaaaaa aaaaaaaaaabbbbcbbbbbaaaaaaaaaa"])
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_in_parts(name, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 5)
+    check(name, TEXTS)

@@ -14,7 +14,7 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from .common import _MASK, blocks, lanes, ragged, range_hashes, text_buffers
+from .common import _MASK, BLOCK, blocks, lanes, ragged, range_hashes, text_buffers
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 1, 2, 3, 4
 _CLASS = np.full(256, _OTHER, np.uint8)
@@ -111,6 +111,12 @@ class Encoder:
         n = len(offs) - 1
         if not self.kind:
             return self._join(self._whole(["" if x is None else x for x in column.to_pylist()]))
+        # some megabytes at a time: there are many numbers for each piece
+        if len(parts := list(blocks(offs, 4 * BLOCK))) > 1:
+            if isinstance(column, pa.ChunkedArray):
+                column = column.combine_chunks()
+            got = [self.encode(column.slice(lo, hi - lo)) for lo, hi in parts]
+            return np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got])
         odd = np.zeros(n, bool)
         keys, owner, spans, ends_ = [], [], [], []
         for lo, hi in blocks(offs):
