@@ -17,6 +17,7 @@ from triagelake.functions.aliases import FIELDS, field
 from triagelake.operators import entities as E
 from triagelake.operators import groups as G
 from triagelake.operators import tier as T
+from triagelake.operators.explain import explained
 
 # Fixed values.
 CRITICAL = ["remote code execution", "rce", "command execution", "arbitrary code"]
@@ -112,7 +113,7 @@ def tiers(f: DataFrame) -> DataFrame:
         "strong": T.control_state(F.col("compensating_controls")) == "effective", "isolated": T.isolated(X.parse_bool(F.col("isolation")), F.col("isolation"), F.col("network_zone")),
     })
     out = T.tiered(f)
-    return out.withColumn("drivers", T.drivers(out))
+    return explained(out.withColumn("drivers", T.drivers(out)))
 
 
 def asset_tokens() -> Column:

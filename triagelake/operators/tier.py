@@ -55,18 +55,29 @@ def criticality_rank(c: Column) -> Column:
     return F.when(F.lower(c) == "critical", 3).when(F.lower(c) == "high", 2).when(F.lower(c) == "medium", 1).otherwise(0)
 
 
-def base_rank(impact: Column, active: Column, internet: Column, crit: Column, epss: Column, mature: Column) -> Column:
-    """0 to 4, before controls; active exploitation is never below 2."""
+def chosen_rank(impact: Column, active: Column, internet: Column, crit: Column, epss: Column, mature: Column) -> Column:
+    """0 to 4, before the floor and controls."""
     above = lambda x: F.coalesce(epss >= x, F.lit(False))
     asset, consequence = crit >= 2, crit >= 3
     reach, near = internet | asset, internet | consequence
     first = (impact >= 4) & active & internet & consequence
     second = (active & (impact >= 2) & reach) | ((mature | above(0.85)) & (impact >= 3) & near)
     third = (active & (impact >= 1) & (reach | above(0.5))) | (mature & (impact >= 2) & reach) | (above(0.5) & (impact >= 3)) | ((impact >= 3) & near) | ((impact >= 2) & reach & (mature | above(0.2)))
-    rank = F.when(first, 0).when(second, 1).when(third, 2).when(impact >= 2, 3).otherwise(4)
+    return F.when(first, 0).when(second, 1).when(third, 2).when(impact >= 2, 3).otherwise(4)
+
+
+def base_rank(impact: Column, active: Column, internet: Column, crit: Column, epss: Column, mature: Column) -> Column:
+    """0 to 4, before controls; active exploitation is never below 2."""
+    rank = chosen_rank(impact, active, internet, crit, epss, mature)
     return F.when(active, F.least(rank, F.lit(2))).otherwise(rank)
 
 
+def any_floor() -> Column:
+    """Whether active exploitation raised a finding to the floor."""
+    evidence = [truth(F.col(c)) if c in ("active", "internet", "mature") else F.col(c) for c in ("impact", "active", "internet", "crit", "epss", "mature")]
+    return truth(F.col("active")) & (chosen_rank(*evidence) > 2)
+
+
 def tiered(f: DataFrame) -> DataFrame:
     """f with base_rank, tier_rank, tier and effective.
 

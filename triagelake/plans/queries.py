@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from triagelake.functions import text as X
 from triagelake.functions.aliases import field
 from triagelake.operators import entities as E
+from triagelake.operators import explain as W
 from triagelake.operators import groups as G
 from triagelake.operators import pipeline as P
 from triagelake.operators import report as R
@@ -66,6 +67,33 @@ def tier_drivers(spark, d):
     return f.groupBy(F.array_join(T.drivers(f), ",").alias("drivers")).agg(F.count("*").alias("findings"))
 
 
+QUIET = "NOT (active OR internet OR mature OR epss >= 0.5)"
+GUARD_SQL = [
+    "active", "active AND raw_rank > 2", "internet AND crit >= 2", "mature", "base_rank = 0", "strong", "isolated", "strong", f"strong AND {QUIET}", f"isolated AND {QUIET}", "eased", "false", "false",
+]
+GUARD_ROWS = ", ".join(f"{{'name': '{name}', 'triggered': {test}, 'a': '{yes}', 'b': '{no}'}}" for (name, yes, no), test in zip(W.GUARDS, GUARD_SQL, strict=True))
+
+
+@query(with_f(f"""SELECT g.name, g.triggered, CASE WHEN g.name LIKE 'active%' AND active THEN 'P2' END AS minimum_priority,
+  CASE WHEN g.name = 'active_exploitation_minimum_guard' AND active AND NOT g.triggered THEN '{W.FLOOR_NOT_NEEDED}' WHEN g.name = 'mitigation_selection_applied' AND g.triggered AND crit >= 3 THEN '{W.RETAINED}'
+    WHEN g.triggered THEN g.a ELSE g.b END AS reason, count(*) AS findings FROM (SELECT active, crit, unnest([{GUARD_ROWS}]) AS g FROM t) GROUP BY ALL"""))
+def tier_guards(spark, d):
+    f = T.tiered(findings(spark, d)).withColumn("compensating_controls", F.when(F.col("strong"), "none; filter").otherwise("N/A"))
+    return f.select(F.explode(W.guards(f)).alias("g")).groupBy("g.name", "g.triggered", "g.minimum_priority", "g.reason").agg(F.count("*").alias("findings"))
+
+
+IMPACT_SQL_NAME = "list_extract(['unknown', 'low', 'medium', 'high', 'critical'], impact + 1)"
+
+
+@query(with_f(f"""SELECT CASE WHEN base_rank = 0 THEN replace(replace('{W.INCIDENT}', '{{note}}', CASE WHEN mature THEN '{W.INCIDENT_MATURE}' ELSE '{W.INCIDENT_ACTIVE}' END), '{{impact}}', {IMPACT_SQL_NAME})
+  WHEN tier = 'P4' THEN '{W.BACKLOG}' ELSE replace(replace('{W.BECAUSE}', '{{tier}}', tier), '{{impact}}', {IMPACT_SQL_NAME}) END AS explanation,
+  'technical_impact=' || {IMPACT_SQL_NAME} || ' EPSS=' || printf('%g', epss) || CASE WHEN internet THEN ' internet_exposed=true' ELSE '' END || CASE crit WHEN 3 THEN ' critical_asset=critical critical_business_or_asset_consequence=true' WHEN 2 THEN ' critical_asset=high' ELSE '' END
+    || CASE WHEN strong THEN ' strong_compensating_controls=true' ELSE '' END || CASE WHEN isolated THEN ' network_isolation=true' ELSE '' END AS evidence, count(*) AS findings FROM t GROUP BY ALL"""))
+def tier_explanation(spark, d):
+    f = W.explained(T.tiered(findings(spark, d)))
+    return f.groupBy("explanation", F.array_join("evidence", " ").alias("evidence")).agg(F.count("*").alias("findings"))
+
+
 @query(with_f("SELECT p.tier, count(t.l_orderkey) AS findings FROM (VALUES ('P0'), ('P1'), ('P2'), ('P3'), ('P4'), ('unassigned')) p(tier) LEFT JOIN t ON coalesce(t.effective, 'unassigned') = p.tier GROUP BY 1"))
 def priority_summary(spark, d):
     names = spark.createDataFrame([(x,) for x in [*T.TIERS, "unassigned"]], "tier string")
