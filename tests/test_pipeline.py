@@ -67,7 +67,7 @@ def test_reports(tables, tmp_path):
     assert report.queue(f, 1).first().tier == "P0"
     csv = report.csv_rows(f).collect()
     assert len(csv) == counts["total"]
-    assert "source_path" not in report.shareable(f).columns and report.shareable(f).first().original_record.startswith("sha256:")
+    assert "source_path" not in report.shareable(f).columns and report.shareable(f).first().original_record.startswith("[REDACTED_SOURCE_RECORD sha256:")
     lines = report.replay(f)
     path = str(tmp_path / "replay.jsonl")
     report.export(lines, path)

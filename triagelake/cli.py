@@ -33,6 +33,9 @@ def main(args: list[str] | None = None) -> int:
             s.add_argument("inputs", nargs="+")
         if name in ("report", "export"):
             s.add_argument("output")
+        if name == "report":
+            s.add_argument("--format", choices=("json", "csv", "html", "table"), default="csv")
+            s.add_argument("--include-raw", action="store_true")
         if name == "findings":
             s.add_argument("--tier")
             s.add_argument("--limit", type=int, default=20)
@@ -49,8 +52,10 @@ def main(args: list[str] | None = None) -> int:
         return 1
     f = run.read(spark, "correlated")
     if a.command == "report":
-        report.write_csv(f, a.output)
+        quarantine = run.read(spark, "normalised").filter("state IN ('quarantined', 'rejected')")
+        report.report(f, run.read(spark, "actions"), quarantine, a.format, a.output, run.load(), a.include_raw)
     elif a.command == "export":
+        report.require_valid(f)
         print(report.export(report.replay(f), a.output))
     else:
         rows = (f.filter(f.tier == a.tier) if a.tier else f).orderBy("ordinal").limit(a.limit)

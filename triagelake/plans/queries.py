@@ -320,7 +320,7 @@ def action_join_back(spark, d):
     return G.shared_actions(f, ["p_brand", "l_returnflag"], F.col("disposition") != "accepted_risk").select("l_orderkey", "l_linenumber", "l_partkey", "shared")
 
 
-@query(r"""SELECT page_id, url, CASE WHEN url IS NOT NULL THEN '[REDACTED]' END AS api_key, '[REDACTED_PATH]' AS place, 'sha256:' || sha256(html) AS original_record FROM pages""")
+@query(r"""SELECT page_id, url, CASE WHEN url IS NOT NULL THEN '[REDACTED]' END AS api_key, '[REDACTED_PATH]' AS place, '[REDACTED_SOURCE_RECORD sha256:' || sha256(html) || ']' AS original_record FROM pages""")
 def redaction(spark, d):
     return R.shareable(table(spark, d, "pages").select("page_id", "url", F.col("url").alias("api_key"), F.lit("/srv/exports/a.json").alias("place"), F.col("url").alias("source_path"), F.col("html").alias("original_record")))
 
