@@ -42,4 +42,4 @@ def test_synthetic_corpus(spark, tmp_path):
     assert len(rows) == 60 and rows["synthetic-00000010"].tier == "P0" and rows["synthetic-00000013"].severity == "medium"
     assert rows["synthetic-00000011"].vulnerability == "CVE-2099-1011" and rows["synthetic-00000011"].hostname == "host-00011.example"
     assert {r.state: r.records for r in tables["accounting"].collect()}["accepted"] == 60
-    assert all(r.solution == "Apply the synthetic vendor update" for r in tables["actions"].collect())
+    assert all(r.action == "Apply the synthetic vendor update" for r in tables["actions"].collect())

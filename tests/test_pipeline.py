@@ -60,6 +60,27 @@ def test_actions(tables):
     assert sum(r.members for r in tables["actions"].collect()) == tables["correlated"].filter("disposition <> 'remediated'").count()
 
 
+def test_action_table(tables):
+    a = {r.action_kind: r for r in tables["actions"].collect()}["explicit_action"]
+    assert a.action == "Install KB12345 now" and (a.members, a.occurrences, a.assets) == (1, 1, 1) and a.priorities == {"P0": 1} == a.active_priorities and a.dispositions == {"confirmed": 1}
+    assert a.providers == ["tenable"] and a.sample[0].tier == "P0" and "CISA_KEV=true" not in a.sample[0].drivers and "exploited_in_wild=true" in a.sample[0].drivers
+    held = {(r.role, r.value) for r in tables["action_evidence"].filter(f"action_id = '{a.action_id}'").collect()}
+    assert {("identifier", "CVE-2024-1111"), ("identifier", "tenable:vulnerability:T1"), ("canonical_asset", "gate01"), ("asset_observation", "192.0.2.10"), ("solution", "install kb12345 now")} <= held
+    stated = {r.action for r in tables["actions"].collect()}
+    assert "Investigate and remediate the finding" in stated
+
+
+def test_group_tables(tables):
+    groups = tables["groups"].collect()
+    assert sum(g.members for g in groups) == tables["correlated"].count() and len({g.group_id for g in groups}) == len(groups)
+    shared = next(g for g in groups if len(g.providers) > 1)
+    assert shared.providers == ["qualys", "tenable"] and shared.cross_provider_duplicates == 1 and shared.conflicting_severities == [] and sum(shared.priorities.values()) == 2
+    s = tables["correlation_stats"].first()
+    assert s.records == tables["correlated"].count() and s.groups == len(groups) and s.duplicates == 1 == s.exact_duplicate_groups and s.cross_provider_groups == 1 and s.blocked_conflict_edges == 0
+    r = {r.vulnerability: r for r in tables["rollups"].collect()}["CVE-2024-1111"]
+    assert r.findings == 2 and r.groups == 1 and r.assets == 3 and r.rollup_id.startswith("vr-")
+
+
 def test_reports(tables, tmp_path):
     f = pipeline.remediate(tables["correlated"])
     counts = {r.measure: r.value for r in report.summary(f).collect()}

@@ -16,6 +16,7 @@ from triagelake.functions import text as X
 from triagelake.functions.aliases import FIELDS, field
 from triagelake.operators import entities as E
 from triagelake.operators import groups as G
+from triagelake.operators import grouping, remediation
 from triagelake.operators import tier as T
 from triagelake.operators.explain import explained
 
@@ -125,7 +126,7 @@ def asset_tokens() -> Column:
 
 
 def correlate(f: DataFrame) -> DataFrame:
-    """f with group_id, canonical, relation and the number of exact copies before a row.
+    """f with group_id, stable_entity, canonical, relation, the number of exact copies of a row, and of links refused.
 
     Findings are linked if they share a vulnerability and a target token. A link by address alone is refused where both
     ends name hosts and share none.
@@ -139,11 +140,13 @@ def correlate(f: DataFrame) -> DataFrame:
     root = G.components(edges.filter("NOT blocked").select("id", "owner").distinct(), "owner", "id")
     f = f.join(root.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rank = F.coalesce("tier_rank", F.lit(9))
+    if "reconciled" not in f.columns:
+        f = f.withColumn("reconciled", F.lit(False))
     g = f.groupBy("root").agg(
         F.min_by("id", F.struct(rank, "id")).alias("canonical"), F.countDistinct("provider").alias("sources"), F.count("*").alias("members"), G.joined(F.collect_set("severity")).alias("severities"),
-        F.min("vulnerability").alias("v"), F.min("id").alias("least"),
-    )
-    g = g.withColumn("group_id", F.concat(F.lit("g-"), X.stable_id(F.col("v"), F.col("least")))).drop("v", "least")
+    ).join(grouping.stable(f), "root")
+    ends = edges.filter("blocked").select("id", F.col("owner").alias("other")).union(edges.filter("blocked").select("owner", "id"))
+    f = f.join(ends.distinct().groupBy("id").agg(F.count("*").alias("conflicts")), "id", "left").withColumn("conflicts", F.coalesce("conflicts", F.lit(0)))
     copies = f.groupBy("root", "fingerprint").agg(F.min("id").alias("first_copy"), F.count("*").alias("copies"))
     out = f.join(g, "root").join(copies, ["root", "fingerprint"])
     relation = F.when(F.col("id") == F.col("canonical"), None).when((F.col("copies") > 1), "duplicate").when(F.col("sources") > 1, "cross_provider_duplicate").otherwise("related")
@@ -160,8 +163,7 @@ def remediate(f: DataFrame) -> DataFrame:
 
 def actions(f: DataFrame) -> DataFrame:
     """One row per action over findings that are neither false positives, done, nor unconfirmed."""
-    live = remediate(f).filter(~F.col("disposition").isin("false_positive", "remediated", "unconfirmed"))
-    return G.actions(live, ["action_id", "action_kind", "action_key"], "tier_rank", "id", solution="solution")
+    return remediation.summaries(remediate(remediation.live(f)))
 
 
 def run(raw: DataFrame) -> dict[str, DataFrame]:
@@ -169,4 +171,8 @@ def run(raw: DataFrame) -> dict[str, DataFrame]:
     normal = G.written(normalise(raw), "normalised")
     ranked = G.written(tiers(assess(accepted(normal))), "tiers")
     grouped = G.written(correlate(ranked), "correlated")
-    return {"normalised": normal, "accounting": accounting(normal), "tiers": ranked, "correlated": grouped, "actions": actions(grouped)}
+    groups = G.written(grouping.table(grouped), "groups")
+    return {
+        "normalised": normal, "accounting": accounting(normal), "tiers": ranked, "correlated": grouped, "groups": groups, "correlation_stats": grouping.stats(groups), "rollups": grouping.rollup(grouped, groups),
+        "actions": actions(grouped), "action_evidence": remediation.evidence(remediate(remediation.live(grouped))),
+    }
