@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triagelake.functions import text as X
 from triagelake.functions.aliases import field
 from triagelake.operators import entities as E
 from triagelake.operators import explain as W
+from triagelake.operators import grouping, remediation
 from triagelake.operators import groups as G
 from triagelake.operators import pipeline as P
 from triagelake.operators import report as R
@@ -307,6 +308,54 @@ def action_groups(spark, d):
     return G.actions(f, ["p_brand", "l_returnflag"], "tier_rank", "member")
 
 
+MAP_SQL = "array_to_string(list_filter([{}], lambda x: x NOT LIKE '%:0'), ' ')"
+
+
+def map_sql(column: str, names: tuple[str, ...], among: str = "true") -> str:
+    return MAP_SQL.format(", ".join(f"'{n}:' || count(*) FILTER ({among} AND {column} = '{n}')" for n in names))
+
+
+def map_text(c: str) -> Column:
+    return F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), " ").alias(c)
+
+
+@query(with_f(f"""SELECT 'RA-' || p_brand || '-' || l_returnflag AS action_id, count(*) AS members, count(DISTINCT l_orderkey * 10 + l_linenumber) AS occurrences, count(DISTINCT o_custkey) AS assets,
+  array_to_string(list_sort(list_distinct(list(CAST(l_suppkey % 3 AS VARCHAR)))), ',') AS providers, {map_sql("tier", T.TIERS)} AS priorities, {map_sql("tier", T.TIERS, "disposition = 'confirmed'")} AS active_priorities,
+  {map_sql("disposition", R.DISPOSITIONS)} AS dispositions, min(tier_rank) AS highest, min(tier_rank) FILTER (disposition = 'confirmed') AS highest_active, CAST(least(25, count(*)) AS INTEGER) AS sampled, 'Upgrade ' || p_brand AS action
+  FROM t WHERE disposition <> 'remediated' GROUP BY p_brand, l_returnflag"""))
+def action_table(spark, d):
+    text = lambda c: F.col(c).cast("string")
+    f = T.tiered(findings(spark, d)).withColumns({
+        "action_id": F.concat_ws("-", F.lit("RA"), "p_brand", "l_returnflag"), "action_kind": F.lit("fixed_version"), "action_key": F.col("p_brand"), "id": (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"),
+        "ordinal": F.col("l_orderkey"), "provider": (F.col("l_suppkey") % 3).cast("string"), "asset_id": text("o_custkey"),
+    })
+    a = remediation.summaries(remediation.live(f))
+    joined = F.array_join("providers", ",").alias("providers")
+    return a.select("action_id", "members", "occurrences", "assets", joined, *(map_text(c) for c in ("priorities", "active_priorities", "dispositions")), "highest", "highest_active", F.size("sample").alias("sampled"), "action")
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey, o_orderkey, unnest(['n|target:' || CASE WHEN o_custkey % 2 = 0 THEN 'ip:' ELSE 'hostname:' END || o_custkey, 'a' || o_orderstatus]) AS alias FROM orders), s AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS n FROM orders GROUP BY 1)
+SELECT o_custkey AS root, min(alias) FILTER (alias LIKE 'n|%') AS alias FROM (SELECT o_custkey, alias, count(*) AS n FROM m GROUP BY 1, 2) JOIN s USING (o_custkey, n) GROUP BY 1""")
+def preferred_alias(spark, d):
+    """Each customer's orders as one group: all have the customer's target, some also the same status."""
+    target = F.concat(F.lit("n|target:"), F.when(F.col("o_custkey") % 2 == 0, "ip:").otherwise("hostname:"), F.col("o_custkey").cast("string"))
+    f = table(spark, d, "orders").select(F.col("o_custkey").alias("root"), F.col("o_orderkey").alias("id"), F.array(F.concat(F.lit("a"), "o_orderstatus"), target).alias("aliases"))
+    return grouping.common_alias(f)
+
+
+@query("""WITH f AS (SELECT o_custkey AS g, o_orderkey AS id, 'CVE-' || o_custkey % 7 AS v, o_orderstatus AS p, o_orderpriority AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders),
+t AS (SELECT g, min(v) AS v, count(*) AS members, count(DISTINCT p) AS providers, count(DISTINCT s) AS severities, count(*) FILTER (r > 1 AND r % 2 = 0) AS duplicates, count(*) FILTER (r > 1 AND r % 2 = 1) AS related FROM f GROUP BY 1)
+SELECT CAST(sum(members) AS BIGINT) AS records, count(*) AS groups, CAST(sum(duplicates) AS BIGINT) AS duplicates, count(*) FILTER (duplicates > 0) AS exact_duplicate_groups, CAST(sum(related) AS BIGINT) AS related,
+  count(*) FILTER (providers > 1) AS cross_provider_groups, 0 AS cross_provider_duplicate_groups, 0 AS cross_provider_duplicate_records, count(*) FILTER (severities > 1) AS conflicting_groups, CAST(sum(members) // 2 AS BIGINT) AS blocked_conflict_edges FROM t""")
+def correlation_stats(spark, d):
+    r = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    f = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("canonical"), F.lit("e").alias("stable_entity"), F.concat(F.lit("CVE-"), (F.col("o_custkey") % 7).cast("string")).alias("vulnerability"), F.col("o_orderstatus").alias("provider"),
+        F.col("o_orderpriority").alias("severity"), F.lit("P1").alias("tier"), F.when(r == 1, None).when(r % 2 == 0, "duplicate").otherwise("related").alias("relation"), F.lit(1).alias("conflicts"),
+    )
+    return grouping.stats(grouping.table(f))
+
+
 @query(with_f("""SELECT p_brand, CAST(sum(id) AS BIGINT) AS ids, count(*) AS sampled FROM (SELECT p_brand, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY p_brand ORDER BY l_orderkey * 10 + l_linenumber, l_partkey, l_suppkey) AS r FROM t) WHERE r <= 25 GROUP BY 1"""))
 def evidence_sample_25(spark, d):
     f = findings(spark, d).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
