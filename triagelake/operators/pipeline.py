@@ -16,7 +16,7 @@ from triagelake.functions import text as X
 from triagelake.functions.aliases import FIELDS, field
 from triagelake.operators import entities as E
 from triagelake.operators import groups as G
-from triagelake.operators import grouping, remediation
+from triagelake.operators import assessment, grouping, remediation
 from triagelake.operators import tier as T
 from triagelake.operators.explain import explained
 
@@ -24,6 +24,9 @@ from triagelake.operators.explain import explained
 CRITICAL = ["remote code execution", "rce", "command execution", "arbitrary code"]
 HIGH = ["authentication bypass", "privilege escalation", "data breach", "injection", "sql injection", "ssrf"]
 MEDIUM = ["denial of service", "dos", "exposure", "disclosure", "sensitive data"]
+NOT_VALID = ["false", "no", "0", "invalid", "malformed"]
+INVALID_KEYS = ["invalidrecordtype", "malformed", "malformedrecord"]
+INVALID = ["true", "yes", "1", "invalid", "malformed"]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -42,6 +45,16 @@ def addresses(values: pd.Series) -> pd.Series:
     return values.map(parse)
 
 
+def marked_invalid() -> Column:
+    """Whether a record says of itself, at any depth or in its title, that it is none."""
+    said = lambda k, words: F.coalesce(F.lower(F.trim(F.element_at("leaf", k))).isin(words), F.lit(False))
+    t = F.lower(F.coalesce("title", F.lit("")))
+    marked = said("isvalid", NOT_VALID) | t.contains("malformed") | t.contains("invalid record")
+    for k in INVALID_KEYS:
+        marked |= said(k, INVALID)
+    return marked
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """One row per raw record: canonical fields, state (accepted, accepted_with_warnings, quarantined, rejected) and reason.
 
@@ -65,7 +78,7 @@ def normalise(raw: DataFrame) -> DataFrame:
     native = F.when(X.usable(F.col("vulnerability_identifier"), X.PLACEHOLDERS), F.upper(F.trim("vulnerability_identifier")))
     f = f.withColumn("vulnerability", F.when(F.size("cves") > 0, F.array_join("cves", ",")).otherwise(native))
     target = X.usable(F.col("asset_id")) | X.usable(F.col("hostname")) | X.usable(F.col("fqdn")) | (F.size("ip_addresses") > 0)
-    marked = X.parse_bool(F.element_at("exact", "isvalid")).eqNullSafe(F.lit(False)) | X.parse_bool(F.element_at("exact", "malformed")).eqNullSafe(F.lit(True))
+    marked = marked_invalid()
     reason = (
         F.when(F.col("malformed").isNotNull(), F.col("malformed")).when(F.col("duplicate_keys"), "duplicate keys").when(F.col("vulnerability").isNull(), "missing required vulnerability identity")
         .when(~target, "missing required target identity").when(marked, "semantic validation failed")
@@ -100,9 +113,8 @@ def technical_impact() -> Column:
 
 
 def assess(f: DataFrame) -> DataFrame:
-    """disposition, impact and the confidence that missing fields leave."""
-    gaps = sum((F.when(F.col(c).isNull() | (F.col(c).cast("string") == "unknown"), 1).otherwise(0) for c in ("severity", "internet_exposed", "epss", "business_criticality", "exploited_in_wild", "solution")), F.lit(0))
-    return f.withColumns({"disposition": X.disposition(F.col("status")), "impact_level": technical_impact(), "confidence": F.round(F.greatest(F.lit(0.25), 1 - 0.08 * gaps), 2)})
+    """disposition, impact_level and what the evidence says of exposure, threat and confidence."""
+    return assessment.analysed(f.withColumns({"disposition": X.disposition(F.col("status")), "impact_level": technical_impact()}))
 
 
 def tiers(f: DataFrame) -> DataFrame:
@@ -111,7 +123,7 @@ def tiers(f: DataFrame) -> DataFrame:
     f = f.withColumns({
         "impact": rank, "active": T.truth(F.col("exploited_in_wild")) | T.truth(F.col("kev")), "internet": T.truth(F.col("internet_exposed")),
         "mature": F.coalesce(F.translate(F.lower("exploit_maturity"), "- ", "__").isin(T.MATURE), F.lit(False)), "crit": F.greatest(T.criticality_rank(F.col("asset_criticality")), T.criticality_rank(F.col("business_criticality"))),
-        "strong": T.control_state(F.col("compensating_controls")) == "effective", "isolated": T.isolated(X.parse_bool(F.col("isolation")), F.col("isolation"), F.col("network_zone")),
+        "strong": assessment.strong_control(F.col("compensating_controls")), "isolated": T.isolated(X.parse_bool(F.col("isolation")), F.col("isolation"), F.col("network_zone")),
     })
     out = T.tiered(f)
     return explained(out.withColumn("drivers", T.drivers(out)))

@@ -201,12 +201,8 @@ def fields(record: dict) -> tuple[dict[str, str], dict[str, str]]:
     return exact, leaf
 
 
-def provider_of(suffix: str, records: list[dict], text: str) -> str:
+def provider_of(suffix: str, records: list[dict]) -> str:
     """The family of a file by the shapes of its first records; generic if none or more than one fits."""
-    if suffix == ".nessus" or "NessusClientData_v2" in text[:2000]:
-        return "nessus"
-    if suffix == ".xml":
-        return "qualys"
     found = set()
     for r in records[:25]:
         k = {norm(x) for x in r}
@@ -241,7 +237,11 @@ def parse(path: str, content: bytes, ordinal: int, provider: str = "auto") -> It
         text = content.decode("utf-8-sig")
         read = {".json": json_records, ".jsonl": jsonl_records, ".ndjson": jsonl_records, ".xml": xml_records, ".nessus": xml_records}.get(suffix)
         records = list(read(text) if read else csv_records(text, "\t" if suffix == ".tsv" else ","))
-        family = provider if provider != "auto" else provider_of(suffix, [r for _, r, bad in records if bad is None], text)
+        family = provider
+        if provider == "auto":
+            # an XML file's family is that of its items
+            items = "nessus" if records and records[0][0].startswith("/xml/ReportItem/") else "qualys"
+            family = items if read is xml_records else provider_of(suffix, [r for _, r, bad in records if bad is None])
     except (ValueError, ElementTree.ParseError, csv.Error) as e:
         yield ordinal << 32, "unknown", form, path, sha, "", "{}", {}, {}, False, f"{type(e).__name__}: {e}"
         return
