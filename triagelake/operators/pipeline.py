@@ -16,7 +16,7 @@ from triagelake.functions import text as X
 from triagelake.functions.aliases import FIELDS, field
 from triagelake.operators import entities as E
 from triagelake.operators import groups as G
-from triagelake.operators import assessment, grouping, remediation
+from triagelake.operators import assessment, diagnostics, grouping, remediation
 from triagelake.operators import tier as T
 from triagelake.operators.explain import explained
 
@@ -60,7 +60,7 @@ def normalise(raw: DataFrame) -> DataFrame:
 
     No record is lost: what can't be used is kept with its reason.
     """
-    f = raw.withColumns({name: field(name) for name in FIELDS})
+    f = raw.withColumns({name: field(name) for name in FIELDS}).withColumns({"port_given": F.col("port"), "severity_original": F.col("severity"), "invalid_ips": diagnostics.strays(F.col("ip"))})
     ids = X.identifiers(F.concat_ws(" ", "cve", "vulnerability_identifier", "title", "description"))
     stated = X.identifiers(F.concat_ws(" ", "cve", "vulnerability_identifier"))
     pick = lambda a: F.filter(a, lambda x: x.startswith("CVE-"))
@@ -83,7 +83,8 @@ def normalise(raw: DataFrame) -> DataFrame:
         F.when(F.col("malformed").isNotNull(), F.col("malformed")).when(F.col("duplicate_keys"), "duplicate keys").when(F.col("vulnerability").isNull(), "missing required vulnerability identity")
         .when(~target, "missing required target identity").when(marked, "semantic validation failed")
     )
-    warned = F.col("title").isNull() | (F.col("severity") == "unknown") | (F.col("cvss_score").isNotNull() & F.col("cvss").isNull())
+    f = f.withColumn("warnings", diagnostics.warnings(F.col("port_given"), target, marked)).drop("port_given").withColumn("mapping_confidence", diagnostics.confidence(F.col("warnings")))
+    warned = F.size("warnings") > 0
     state = F.when(F.col("malformed").isNotNull() | F.col("duplicate_keys") | reason.startswith("missing") | reason.startswith("semantic"), "quarantined").when(warned, "accepted_with_warnings").otherwise("accepted")
     occurrence = F.coalesce(F.when(X.usable(F.col("source_record_id"), X.PLACEHOLDERS), F.col("source_record_id")), F.col("record_pointer"))
     finding = F.concat(F.lit("f-"), X.stable_id(F.col("provider"), occurrence, F.col("report_sha256"), F.col("record_pointer")))
