@@ -4,7 +4,7 @@ import pytest
 
 from triagelake import cli
 from triagelake.sources import paginated, selectors
-from triagelake.store import Run
+from triagelake.store import STAGES, Run
 from triagelake.streaming import findings
 
 
@@ -54,6 +54,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["findings", run]) == 1
 
 
+def test_stages_one_by_one(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "a.jsonl").write_text("\n".join(line(i) for i in range(5)))
+    run = str(tmp_path / "run")
+    assert cli.main(["normalise", run]) == 1
+    for command in cli.COMMANDS:
+        assert cli.main([command, run, *([str(tmp_path / "a.jsonl")] if command == "ingest" else [])]) == 0
+    capsys.readouterr()
+    assert cli.main(["status", run]) == 0
+    state = json.loads(capsys.readouterr().out)
+    assert state["status"] == "complete" and list(state["stages"]) == sorted(STAGES) and state["resources"]["disk_bytes"] > 0 and Run(run).complete(spark)
+    for form in ("json", "html", "table"):
+        assert cli.main(["report", run, str(tmp_path / form), "--format", form]) == 0
+    assert len(json.loads((tmp_path / "json").read_text())["findings"]) == 5
+    kinds = [json.loads(x)["event_type"] for x in (tmp_path / "run" / "events.jsonl").read_text().splitlines()]
+    assert kinds[:3] == ["raw.started", "raw.completed", "normalised.started"]
+    monkeypatch.setenv("TRIAGELAKE_MAX_RUN_DISK_BYTES", "10")
+    assert cli.main(["triage", run]) == 1
+    assert Run(run).load()["status"] == "failed" and not Run(run).complete(spark)
+
+
+def test_remote_manifest(spark, tmp_path):
+    """A folder named by a scheme goes through Spark's own file systems."""
+    run = Run(f"file://{tmp_path}/r")
+    run.write("raw", spark.range(3).toDF("id"))
+    run.write("raw", spark.range(4).toDF("id"))
+    assert json.loads((tmp_path / "r" / "run.json").read_text())["stages"]["raw"]["input"] is None and run.read(spark, "raw").count() == 4
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        run.write("normalised", spark.range(3).selectExpr("id / 0 AS x"))
+    assert run.load()["status"] == "failed" and "DIVIDE_BY_ZERO" in run.load()["errors"][0]["reason"]
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text(line(1) + "\n" + line(2))
