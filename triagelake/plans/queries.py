@@ -174,10 +174,10 @@ ADMISSION_SQL = """SELECT CASE WHEN user_id % 7 = 0 OR value < 1 THEN 'quarantin
 
 
 def admitted(spark, d):
-    """Events as raw records: some without a usable vulnerability, target or title."""
+    """Events as raw records: some without a usable vulnerability or target, or without an id of their own."""
     known = {
         "cve": F.when(F.col("user_id") % 7 == 0, " N/A ").otherwise(F.concat(F.lit("cve-2024-"), (F.col("user_id") + 10000).cast("string"))), "assetid": F.when(F.col("value") < 1, "unknown").otherwise("host"),
-        "title": F.when(F.col("event_type") != "error", F.col("event_type")), "severity": F.lit("low"),
+        "title": F.when(F.col("event_type") != "error", F.col("event_type")), "severity": F.lit("low"), "id": F.when(F.col("event_type") != "error", F.concat(F.lit("e"), F.col("event_id").cast("string"))),
     }
     exact = F.map_filter(F.create_map(*[x for k, v in known.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
     raw = table(spark, d, "events").select(
