@@ -99,3 +99,38 @@ def test_more_neighbours_than_kept_ids(spark):
     with pytest.raises(ValueError, match="members=21"):
         ann.search(ann.build(df), q, 20)
     assert [r.vec_id for r in ann.search(ann.build(df, members=21), q, 20).orderBy("rank").collect()] == list(range(1, 21))
+
+
+def shuffled(spark):
+    """Rows that all stages so far have dealt."""
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_are_dealt_few_times(spark):
+    r = np.random.default_rng(9)
+    df = frame(spark, range(3000), r.normal(size=(3000, 24)))
+    before = shuffled(spark)
+    run(df, 50, 5)
+    assert 3000 <= shuffled(spark) - before <= 10 * 3000  # to the graph and to the walks, not for each edge and round
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-4])
+def test_many_shards(spark, monkeypatch, scale):
+    monkeypatch.setattr(ann, "LEAST", 250, raising=False)
+    r = np.random.default_rng(10)
+    n = 3000
+    x = r.normal(size=(30, 16))[r.integers(0, 30, n)] + scale * r.normal(size=(n, 16))
+    x[::3] = x[0]  # a third of all rows are one vector, asked for by many
+    ids = [int(i) for i in r.permutation(n)]
+    index = ann.build(frame(spark, ids, x))
+    assert index.shards == 12 and {row.shard for row in index.table.select("shard").distinct().collect()} == set(range(12))
+    assert index.table.count() == 2001
+    got = run(frame(spark, ids, x), 50, 5)
+    want = brute(ids, x, [i for i in ids if i % 50 == 0], 5)
+    hits = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in want)
+    assert set(got) == set(want) and hits >= 0.95 * 5 * len(want)
+    same = sorted(ids[::3])
+    for q in set(same) & set(got):
+        assert [v for _, v, _ in got[q]] == [v for v in same if v != q][:5]
