@@ -103,17 +103,17 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(score, width - k, axis=1)[:, width - k :] if k < width else np.broadcast_to(np.arange(width), score.shape)
 
 
-def _merge(near: np.ndarray, score: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best distinct entries of each row; -1 is none. Of two equal ones, the one that is not new stays."""
+def _merge(near: np.ndarray, score: np.ndarray, age: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best distinct entries of each row; -1 is none. Of two equal ones, the one of less age (0 to 2) stays."""
     take = np.take_along_axis
-    order = np.argsort(near * 2 + new, axis=1)
-    near, score, new = take(near, order, 1), take(score, order, 1), take(new, order, 1)
+    order = np.argsort(near * 4 + age, axis=1)
+    near, score, age = take(near, order, 1), take(score, order, 1), take(age, order, 1)
     score[:, 1:][near[:, 1:] == near[:, :-1]] = NONE
     score[near < 0] = NONE
     best = _top(score, k)
-    near, score, new = take(near, best, 1), take(score, best, 1), take(new, best, 1)
+    near, score, age = take(near, best, 1), take(score, best, 1), take(age, best, 1)
     near[score == NONE] = -1
-    return near, score, new & (near >= 0)
+    return near, score, np.where(near >= 0, age, 0)
 
 
 def _padded(key: np.ndarray, rank: np.ndarray, rows: int, *columns: tuple[np.ndarray, float]) -> list[np.ndarray]:
@@ -160,7 +160,7 @@ def _seed(x: np.ndarray, k: int, trees: int, leaf: int, rng: np.random.Generator
             node, first = np.unique(rows, return_index=True)  # the last leaf overlaps the one before
             ids = np.take_along_axis(np.repeat(rows, leaf, 0), at, 1)[first].astype(np.int32)
             found = np.concatenate([near[node], ids], 1), np.concatenate([score[node], np.take_along_axis(s, at, 1)[first]], 1)
-            near[node], score[node], _ = _merge(*found, np.zeros(found[0].shape, bool), k)
+            near[node], score[node], _ = _merge(*found, np.zeros(found[0].shape, np.int8), k)
     return near, score
 
 
@@ -196,10 +196,10 @@ class _Lists:
         ids, s = _padded(which, rank[fits], len(rows), (other[fits].astype(np.int32), -1), (score[fits], NONE))
         for lo in range(0, len(rows), 20_000):
             r, i, v = rows[lo : lo + 20_000], ids[lo : lo + 20_000], s[lo : lo + 20_000]
-            had = self.near[r]
-            near, best, new = _merge(np.concatenate([had, i], 1), np.concatenate([self.score[r], v], 1), np.concatenate([self.new[r], np.ones(i.shape, bool)], 1), k)
-            self.changed += int(((near[:, :, None] != had[:, None, :]).all(axis=2) & (near >= 0)).sum())
-            self.near[r], self.score[r], self.new[r], self.bar[r] = near, best, new, best.min(axis=1)
+            # of age 0 if compared, 1 if not, 2 for proposals
+            near, best, age = _merge(np.concatenate([self.near[r], i], 1), np.concatenate([self.score[r], v], 1), np.concatenate([self.new[r].astype(np.int8), np.full(i.shape, 2, np.int8)], 1), k)
+            self.changed += int((age == 2).sum())
+            self.near[r], self.score[r], self.new[r], self.bar[r] = near, best, age > 0, best.min(axis=1)
 
 
 def _descend(x: np.ndarray, near: np.ndarray, score: np.ndarray, sample: int, delta: float, rounds: int, rng: np.random.Generator) -> np.ndarray:
@@ -348,7 +348,7 @@ def _cells(values: np.ndarray) -> pa.Array:
 
 def breadth(rows: int) -> int:
     """Nodes in the beam of a walk: grows with the square root of a shard's rows, as near ones are harder to reach."""
-    return max(128, round(192 * np.sqrt(rows / 40_000)))
+    return max(96, round(112 * np.sqrt(rows / 40_000)))
 
 
 class Index:
@@ -376,7 +376,7 @@ class Index:
 TABLE = "shard int, place int, node long, members binary, unit binary, near binary, wide boolean"
 
 
-def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 32, fan: int = 16, delta: float = 0.01, rounds: int = 30, trees: int = 8, leaf: int = 64, sample: int = 16) -> Index:
+def build(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding", members: int = 6, k: int = 48, fan: int = 16, delta: float = 0.01, rounds: int = 30, trees: int = 8, leaf: int = 128, sample: int = 10) -> Index:
     """The graph of a shard is settled when a round changes at most `delta` of its edges."""
     given, kind = _given(df, id_column, vector)
 

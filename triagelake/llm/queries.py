@@ -17,7 +17,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     index = ann.build(vectors, "vec_id", "embedding")
-    queries = ann.valid(vectors, "vec_id", "embedding").filter("id % 50 = 0")
+    queries = ann.valid(vectors.filter("CAST(vec_id AS long) % 50 = 0"), "vec_id", "embedding")
     return ann.search(index, queries, 5)
 
 
