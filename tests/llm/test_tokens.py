@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -59,3 +61,52 @@ def test_pieces_of_equal_hash_differ(name, monkeypatch):
 def test_in_parts(name, monkeypatch):
     monkeypatch.setattr(tokens, "BLOCK", 5)
     check(name, TEXTS)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_cache_overflows(name, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 12)
+    monkeypatch.setattr(tokens, "BLOCK", 40)
+    check(name, TEXTS + [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)), "x" * 50 + " " + "y" * 50] + TEXTS)
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_every_byte_alone_and_in_runs(name):
+    marks = [chr(i) for i in range(0x250)]
+    check(name, [f"{c}\n{c}{c} a{c} {c}a{c}b\t{c}" for c in marks] + ["".join(marks), "a", "a\x00", "a\x00\x00", "!", "!\x00", "!\x00\x00"])
+
+
+def words(n, first):
+    """n distinct words of letters, other ones for each first letter."""
+    return " ".join(first + "".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n))
+
+
+def test_cost_of_a_new_piece_does_not_grow_with_the_cache():
+    def cost(cached):
+        e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+        e.encode(pa.array([words(cached, "q")]))
+        took = []
+        for i in range(25):
+            new = pa.array([" z" + "abcdefghijklmnopqrstuvwxyz"[i] * 3])
+            t = time.process_time()
+            e.encode(new)
+            took.append(time.process_time() - t)
+        return min(took)
+
+    assert cost(300_000) < 5 * cost(500)
+
+
+def test_plain_pieces_go_to_the_model(monkeypatch):
+    e = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    text = "plain words, naïve 12  and \n it's o'clock"
+    want = e.tokenizer.encode(text, add_special_tokens=False).ids
+    given = []
+
+    class Seen:
+        def encode_batch(self, texts, real=e.tokenizer, **options):
+            given.extend(texts)
+            return real.encode_batch(texts, **options)
+
+    e.tokenizer = Seen()
+    assert e.encode(pa.array([text]))[0].tolist() == want
+    assert sorted(given) == [" it's", " o'clock"] or sorted(given) == ["it's", "o'clock"]
